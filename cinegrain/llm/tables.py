@@ -13,7 +13,7 @@ DIMENSIONS = 40
 OLDEST = "0001-01-01 00:00:00"
 
 #: Every character that Unicode calls white space, and the four separators U+001C to U+001F.
-SPACE = r"[\s\u001c-\u001f\u0085   -     　]+"
+SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def current_rows(df: DataFrame, keys: list[str], version: str, columns: list[str]) -> DataFrame:
