@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import table
-from . import baskets, set_join, tables, top_items
+from . import baskets, runs, set_join, tables, top_items
 
 
 def _library(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -42,7 +42,17 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.withColumns({"ratio": F.round("ratio", 6), "conviction": F.round("conviction", 6)})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_pairs)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Still stretches of at least 3 frames."""
+    return p3_runs(spark, d).where(F.col("n") >= 3).select("scene_id", "model_key", F.col("first").alias("first_frame_index"), F.col("last").alias("last_frame_index"))
+
+
+def p3_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The same stretches with their frame count and duration."""
+    return runs.find_runs(table(spark, d, "frame_embeddings"), ["scene_id", "model_key"], "frame_index", "timestamp_s", "embedding", "created_at", 0.95, 10.0, least=3).withColumn("duration", F.round("duration", 6))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_runs, p4_found, p4_pairs)}
 
 _CURRENT = """
 cur AS (
@@ -53,7 +63,30 @@ names AS (
   FROM cur, unnest(cur.tags) AS u(t) WHERE u.t.name IS NOT NULL
 )"""
 
+_STILL = """WITH cur AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, frame_index, model_key ORDER BY created_at DESC) AS rn FROM frame_embeddings
+    WHERE scene_id IS NOT NULL AND frame_index IS NOT NULL AND model_key IS NOT NULL) WHERE rn = 1
+),
+u AS (
+  SELECT scene_id, model_key, frame_index::BIGINT AS i, timestamp_s AS t, embedding::DOUBLE[] AS v FROM cur
+  WHERE len(embedding) = 40 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 40 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+l AS (
+  SELECT *, lag(v) OVER w AS pv, lag(t) OVER w AS pt FROM u WINDOW w AS (PARTITION BY scene_id, model_key ORDER BY i)
+),
+s AS (
+  SELECT *, CASE WHEN t - pt <= 10 AND list_dot_product(v, pv) / sqrt(list_dot_product(v, v) * list_dot_product(pv, pv)) >= 0.95 THEN 0 ELSE 1 END AS b FROM l
+),
+r AS (SELECT *, sum(b) OVER (PARTITION BY scene_id, model_key ORDER BY i) AS run FROM s),
+g AS (
+  SELECT scene_id, model_key, min(i) AS first, max(i) AS last, count(*) AS n, min_by(t, i) AS t_first, max_by(t, i) AS t_last
+  FROM r GROUP BY scene_id, model_key, run HAVING count(*) >= 3
+)
+"""
+
 SQL = {
+    "p3_found": _STILL + "SELECT scene_id, model_key, first AS first_frame_index, last AS last_frame_index FROM g",
+    "p3_runs": _STILL + "SELECT scene_id, model_key, first, last, n, t_first, t_last, round(t_last - t_first, 6) AS duration FROM g",
     "p1_found": f"""WITH {_CURRENT}
 SELECT tag_name, scene_id FROM (
   SELECT name AS tag_name, id AS scene_id, row_number() OVER (PARTITION BY name ORDER BY play_count DESC, id) AS k
