@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import table
-from . import baskets, runs, set_join, tables, top_items
+from . import baskets, nearest, runs, set_join, tables, top_items
 
 
 def _library(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -52,7 +52,26 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.find_runs(table(spark, d, "frame_embeddings"), ["scene_id", "model_key"], "frame_index", "timestamp_s", "embedding", "created_at", 0.95, 10.0, least=3).withColumn("duration", F.round("duration", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_runs, p4_found, p4_pairs)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of near scenes of each model, and of near frames of openclip in different scenes."""
+    kind, model = F.split("g", ":", 2)[0], F.split("g", ":", 2)[1]
+    n = p6_nearest(spark, d)
+    a, b = F.struct(F.col("a").alias("s"), F.col("b").alias("f")), F.struct(F.col("ca").alias("s"), F.col("cb").alias("f"))
+    pairs = n.select(kind.alias("kind"), model.alias("model_key"), F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).distinct()
+    return pairs.select("kind", "model_key", F.col("p.s").alias("scene_a"), F.col("p.f").alias("frame_a"), F.col("q.s").alias("scene_b"), F.col("q.f").alias("frame_b"))
+
+
+def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The up to 5 neighbours of each scene and each openclip frame; g is kind:model."""
+    scenes = tables.current_rows(table(spark, d, "scene_embeddings"), ["scene_id", "model_key"], "updated_at", ["composite_embedding"])
+    scenes = scenes.select(F.concat(F.lit("scene:"), "model_key").alias("g"), "scene_id", F.lit(-1).alias("frame"), F.col("composite_embedding").alias("v"))
+    frames = table(spark, d, "frame_embeddings").where(F.col("model_key") == "openclip")
+    frames = tables.current_rows(frames, ["scene_id", "frame_index", "model_key"], "created_at", ["embedding"])
+    frames = frames.select(F.concat(F.lit("frame:"), "model_key").alias("g"), "scene_id", F.col("frame_index").alias("frame"), F.col("embedding").alias("v"))
+    return nearest.nearest(scenes.unionByName(frames), "g", "scene_id", "frame", "v", k=5, least=0.9)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_runs, p4_found, p4_pairs, p6_found, p6_nearest)}
 
 _CURRENT = """
 cur AS (
