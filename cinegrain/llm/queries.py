@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import table
-from . import baskets, nearest, runs, set_join, tables, top_items
+from ..shared import stored, table
+from . import baskets, clusters, nearest, runs, set_join, tables, top_items, vector_rows
 
 
 def _library(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -52,6 +52,23 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.find_runs(table(spark, d, "frame_embeddings"), ["scene_id", "model_key"], "frame_index", "timestamp_s", "embedding", "created_at", 0.95, 10.0, least=3).withColumn("duration", F.round("duration", 6))
 
 
+def _siglip(spark: SparkSession, d: str) -> DataFrame:
+    scenes = table(spark, d, "scene_embeddings").where(F.col("model_key") == "siglip")
+    scenes = tables.current_rows(scenes, ["scene_id", "model_key"], "updated_at", ["composite_embedding"])
+    return stored(vector_rows.usable(scenes.select(F.col("scene_id").cast("bigint").alias("id"), F.col("composite_embedding").alias("v")), "v"), "scene-vectors")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of at least 3 scenes that are all close to each other and to no other."""
+    return clusters.similar_groups(_siglip(spark, d), least=0.9, smallest=3).select("cluster_id", F.col("id").alias("scene_id"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The same groups with their size and three most typical scenes."""
+    rows = _siglip(spark, d)
+    return clusters.describe(clusters.similar_groups(rows, least=0.9, smallest=3), rows, typical=3)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near scenes of each model, and of near frames of openclip in different scenes."""
     kind, model = F.split("g", ":", 2)[0], F.split("g", ":", 2)[1]
@@ -71,7 +88,7 @@ def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest(scenes.unionByName(frames), "g", "scene_id", "frame", "v", k=5, least=0.9)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_runs, p4_found, p4_pairs, p6_found, p6_nearest)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_runs, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_nearest)}
 
 _CURRENT = """
 cur AS (
