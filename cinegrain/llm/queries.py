@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import stored, table
-from . import baskets, clusters, nearest, runs, set_join, tables, top_items, vector_rows
+from . import baskets, byte_bpe, clusters, nearest, runs, set_join, tables, top_items, vector_rows
 
 
 def _library(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -88,7 +88,12 @@ def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest(scenes.unionByName(frames), "g", "scene_id", "frame", "v", k=5, least=0.9)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_runs, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_nearest)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The byte_bpe_50k ids of every document."""
+    return byte_bpe.token_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_runs, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_nearest, p7_ids)}
 
 _CURRENT = """
 cur AS (
