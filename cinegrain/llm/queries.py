@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import stored, table
-from . import baskets, byte_bpe, clusters, leaks, nearest, runs, set_join, tables, top_items, vector_rows
+from . import baskets, byte_bpe, clusters, leaks, nearest, runs, set_join, shells, tables, top_items, vector_rows
 
 
 def _library(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -103,7 +103,17 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_runs, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_nearest, p7_ids, p8_found, p8_leaks)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are empty shells."""
+    return p9_shells(spark, d).select("doc_id")
+
+
+def p9_shells(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the reasons."""
+    return shells.find_shells(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_runs, p4_found, p4_pairs, p5_found, p5_groups, p6_found, p6_nearest, p7_ids, p8_found, p8_leaks, p9_found, p9_shells)}
 
 _CURRENT = """
 cur AS (
