@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import vectors
+from .operators import datasets, frames, recommend, vectors
 from .plans.catalogue import PLANS
 from .shared import table
+from .streaming import events as event_ops
 
 
 def _spark_text(text: str) -> str:
@@ -50,12 +51,93 @@ def tag_closure(spark: SparkSession, d: str) -> DataFrame:
     return vectors.closure(edges, spark.createDataFrame([(1,)], "id long"))
 
 
-QUERIES = {name: planned(text) for name, text in PLANS.items()} | {f.__name__: f for f in (similar_topk, label_centroids, consecutive_similarity, tag_closure)}
+def _embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings")
+
+
+def frame_segments(spark: SparkSession, d: str) -> DataFrame:
+    return frames.segments(_embeddings(spark, d), ["label"], "vec_id", "embedding", 0.0, 2).select("label", F.col("segment").cast("bigint").alias("segment"), "first", "last", "n")
+
+
+def frame_novelty(spark: SparkSession, d: str) -> DataFrame:
+    return frames.novelty(_embeddings(spark, d), ["label"], "vec_id", "embedding", 2)
+
+
+def best_tag_per_frame(spark: SparkSession, d: str) -> DataFrame:
+    return _best(_embeddings(spark, d))
+
+
+def _best(e: DataFrame) -> DataFrame:
+    tags = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("tag"), F.col("embedding").alias("tv"))
+    return frames.best_label(e.withColumnRenamed("label", "item"), ["item", "vec_id"], "embedding", tags, "tag", "tv", 0.3).withColumnRenamed("label", "tag")
+
+
+def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
+    return frames.coverage(_best(_embeddings(spark, d)), "item")
+
+
+def frame_best_per_group(spark: SparkSession, d: str) -> DataFrame:
+    e = _embeddings(spark, d)
+    q = F.broadcast(e.where("vec_id = 1").select(F.col("embedding").alias("q")).limit(1))
+    scored = e.where("vec_id <> 1").crossJoin(q).select("label", "vec_id", vectors.cosine(F.col("embedding"), F.col("q")).alias("s"))
+    return frames.best_per_group(scored, "label", "vec_id", F.col("s"), 20)
+
+
+def detection_sessions(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_type = 'view'").select("user_id", F.unix_timestamp("ts").cast("double").alias("t"), "value")
+    return frames.sessions(e.groupBy("user_id", "t").agg(F.max("value").alias("value")), "user_id", "t", 86400.0, "value")
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").where("event_type = 'view'").groupBy(F.col("user_id").alias("vec_id")).agg(F.count("*").alias("score"))
+
+
+def rec_discover(spark: SparkSession, d: str) -> DataFrame:
+    scores, e = _scores(spark, d), _embeddings(spark, d)
+    return recommend.recommend(recommend.profile(scores, e, "vec_id", "embedding", "score"), e, "vec_id", "embedding", scores, 20)
+
+
+def rec_rewatch(spark: SparkSession, d: str) -> DataFrame:
+    scores, e = _scores(spark, d), _embeddings(spark, d)
+    return recommend.recommend(recommend.profile(scores, e, "vec_id", "embedding", "score"), e, "vec_id", "embedding", scores, 20, only=True)
+
+
+def caption_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", datasets.clean_caption(F.col("text")).alias("caption")).where("caption IS NOT NULL")
+
+
+def group_split(spark: SparkSession, d: str) -> DataFrame:
+    return datasets.group_split(table(spark, d, "documents").select("doc_id", "scene_id"), "scene_id", 0.1)
+
+
+def tag_merge(spark: SparkSession, d: str) -> DataFrame:
+    bridge = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    return datasets.merge_tags(bridge, "l_orderkey", "l_suppkey", 1, [2, 3])
+
+
+def events_per_day(spark: SparkSession, d: str) -> DataFrame:
+    return event_ops.windowed_counts(table(spark, d, "events"), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+QUERIES = {name: planned(text) for name, text in PLANS.items()} | {f.__name__: f for f in (similar_topk, label_centroids, consecutive_similarity, tag_closure, frame_segments, frame_novelty, best_tag_per_frame, coverage_summary, frame_best_per_group, detection_sessions, rec_discover, rec_rewatch, caption_clean, group_split, tag_merge, events_per_day)}
 
 _COS = "round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[]) * list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])), 6)"
+_LAG = "l AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)"
+_BEST = "b AS (SELECT f.label AS item, f.vec_id, g.vec_id AS tag, " + _COS.format(a="f.embedding", b="g.embedding") + " AS s FROM embeddings f, embeddings g WHERE g.vec_id % 20 = 0), o AS (SELECT item, vec_id, tag, s AS similarity, s >= 0.3 AS covered FROM (SELECT *, row_number() OVER (PARTITION BY item, vec_id ORDER BY s DESC, tag) AS k FROM b) WHERE k = 1)"
+_PROFILE = "s AS (SELECT user_id AS vec_id, count(*) AS score FROM events WHERE event_type = 'view' GROUP BY 1), x AS (SELECT score, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings JOIN s USING (vec_id)), c AS (SELECT pos, sum(score * v) AS v FROM x GROUP BY pos), q AS (SELECT list(round(v / n, 6) ORDER BY pos) AS q FROM c, (SELECT sqrt(sum(v * v)) AS n FROM c))"
 SQL = {name: _check_text(text) for name, text in PLANS.items()} | {
     "similar_topk": "SELECT a.vec_id, " + _COS.format(a="a.embedding", b="b.embedding") + " AS similarity FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 ORDER BY similarity DESC, a.vec_id LIMIT 10",
     "label_centroids": "WITH x AS (SELECT label, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT label, pos, sum(v) AS s FROM x GROUP BY 1, 2) SELECT label, pos, round(s / sqrt(sum(s * s) OVER (PARTITION BY label)), 6) AS value FROM s",
     "consecutive_similarity": "WITH l AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT label, vec_id, " + _COS.format(a="e", b="p") + " AS similarity FROM l",
     "tag_closure": "WITH RECURSIVE t(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey // 8 = t.id AND p_partkey > 1) SELECT id, min(depth)::INT AS depth FROM t GROUP BY id",
+    "frame_segments": "WITH " + _LAG + ", n AS (SELECT label, vec_id, sum(CASE WHEN " + _COS.format(a="e", b="p") + " >= 0 THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY vec_id) AS segment FROM l) SELECT label, segment::BIGINT AS segment, min(vec_id) AS first, max(vec_id) AS last, count(*) AS n FROM n GROUP BY label, segment HAVING count(*) >= 2 OR segment = 1",
+    "frame_novelty": "WITH l AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER w AS p, lag(embedding, 2) OVER w AS r FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT label, vec_id, round(1 - coalesce(greatest(" + _COS.format(a="e", b="p") + ", " + _COS.format(a="e", b="r") + "), 0), 6) AS novelty FROM l",
+    "best_tag_per_frame": "WITH " + _BEST + " SELECT * FROM o",
+    "coverage_summary": "WITH " + _BEST + " SELECT item, count(*) AS frames, count(*) FILTER (covered) AS covered, round(count(*) FILTER (covered) / count(*), 6) AS share FROM o GROUP BY item",
+    "frame_best_per_group": "WITH s AS (SELECT a.label, a.vec_id, " + _COS.format(a="a.embedding", b="q.embedding") + " AS score FROM embeddings a, embeddings q WHERE q.vec_id = 1 AND a.vec_id <> 1) SELECT label, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM s) WHERE k = 1 ORDER BY score DESC, label LIMIT 20",
+    "detection_sessions": "WITH e AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS t, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 86400 THEN 0 ELSE 1 END AS b FROM e), n AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g) SELECT user_id, min(t) AS start, max(t) AS end, count(*) AS n, max(value) AS peak FROM n GROUP BY user_id, k",
+    "rec_discover": "WITH " + _PROFILE + " SELECT vec_id, " + _COS.format(a="embedding", b="q") + " AS similarity FROM embeddings, q WHERE vec_id NOT IN (SELECT vec_id FROM s) ORDER BY similarity DESC, vec_id LIMIT 20",
+    "rec_rewatch": "WITH " + _PROFILE + " SELECT vec_id, " + _COS.format(a="embedding", b="q") + " AS similarity FROM embeddings, q WHERE vec_id IN (SELECT vec_id FROM s) ORDER BY similarity DESC, vec_id LIMIT 20",
+    "tag_merge": "SELECT DISTINCT l_orderkey, CASE WHEN l_suppkey IN (2, 3) THEN 1 ELSE l_suppkey END AS l_suppkey FROM lineitem",
+    "events_per_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
