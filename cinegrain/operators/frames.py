@@ -23,29 +23,40 @@ def segments(df: DataFrame, entity: list[str], position: str, vector: str, bound
     return out.where((F.col("n") >= least) | (F.col("segment") == 1))
 
 
-def novelty(df: DataFrame, entity: list[str], position: str, vector: str, back: int) -> DataFrame:
-    """1 less the greatest similarity to the up to `back` frames before; 1 for the first frame."""
-    w = Window.partitionBy(*entity).orderBy(position).rowsBetween(-back, -1)
-    near = F.array_max(F.transform(F.collect_list(vector).over(w), lambda v: cosine(v, F.col(vector))))
-    return df.select(*entity, position, F.round(1 - F.coalesce(near, F.lit(0.0)), 6).alias("novelty"))
+def novelty(df: DataFrame, entity: list[str], position: str, vector: str, width: int) -> DataFrame:
+    """(1 - mean similarity to the up to width frames on each side) * min(1, their number / (2 * width)); 0 for a frame alone.
 
+    Vectors have length one. The mean of the dot products is one dot product with
+    the sum of the neighbours, a moving sum per coordinate: no frame is paired with each neighbour.
+    """
+    w = Window.partitionBy(*entity, "_pos").orderBy(position).rowsBetween(-width, width)
+    x = df.select(*entity, position, F.posexplode(vector).alias("_pos", "_x")).withColumn("_x", F.col("_x").cast("double"))
+    x = x.select(*entity, position, (F.col("_x") * (F.sum("_x").over(w) - F.col("_x"))).alias("_d"), (F.count("*").over(w) - 1).alias("_n"))
+    out = x.groupBy(*entity, position).agg(F.sum("_d").alias("_d"), F.max("_n").alias("_n"))
+    value = (1 - F.col("_d") / F.col("_n")) * F.least(F.lit(1.0), F.col("_n") / (2 * width))
+    return out.select(*entity, position, F.when(F.col("_n") > 0, F.round(value, 6)).otherwise(0.0).alias("novelty"))
 
-def best_label(frames: DataFrame, key: list[str], vector: str, labels: DataFrame, label: str, label_vector: str, covered: float) -> DataFrame:
-    """key, label, similarity, covered: the most similar label of each frame, ties by the smaller label.
+
+def against_labels(frames: DataFrame, key: list[str], vector: str, labels: DataFrame, label: str, label_vector: str) -> DataFrame:
+    """key, label, s: the similarity of each frame to each label, for an aggregate that follows.
 
     The labels are counted first; up to LABELS of them are sent to the tasks, more
-    are compared in blocks of the label table, each against all frames.
+    in blocks by a hash, each against all frames.
     """
-    n = labels.count()
     side = labels.select(F.col(label).alias("_label"), F.col(label_vector).alias("_v"))
-    blocks = max(1, -(-n // LABELS))
-    best = None
+    blocks = max(1, -(-labels.count() // LABELS))
+    out = None
     for b in range(blocks):
         part = F.broadcast(side if blocks == 1 else side.where(F.pmod(F.xxhash64("_label"), F.lit(blocks)) == b))
-        scored = frames.select(*key, vector).crossJoin(part).select(*key, "_label", cosine(F.col(vector), F.col("_v")).alias("similarity"))
-        best = scored if best is None else best.unionByName(scored)
-    order = F.struct((-F.col("similarity")).alias("s"), F.col("_label").alias("l"))
-    top = best.where(F.col("similarity").isNotNull()).groupBy(*key).agg(F.min(order).alias("o"))
+        scored = frames.select(*key, vector).crossJoin(part).select(*key, F.col("_label").alias(label), cosine(F.col(vector), F.col("_v")).alias("s"))
+        out = scored if out is None else out.unionByName(scored)
+    return out.where(F.col("s").isNotNull())
+
+
+def best_label(frames: DataFrame, key: list[str], vector: str, labels: DataFrame, label: str, label_vector: str, covered: float) -> DataFrame:
+    """key, label, similarity, covered: the most similar label of each frame, ties by the smaller label."""
+    scored = against_labels(frames, key, vector, labels, label, label_vector)
+    top = scored.groupBy(*key).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col(label).alias("l"))).alias("o"))
     return top.select(*key, F.col("o.l").alias("label"), (-F.col("o.s")).alias("similarity"), (-F.col("o.s") >= covered).alias("covered"))
 
 
@@ -66,3 +77,46 @@ def sessions(df: DataFrame, entity: str, seconds: str, gap: float, score: str) -
     new = F.when(F.col(seconds) - F.lag(seconds).over(w) <= gap, 0).otherwise(1)
     numbered = df.withColumn("_new", new).withColumn("_event", F.sum("_new").over(w))
     return numbered.groupBy(entity, "_event").agg(F.min(seconds).alias("start"), F.max(seconds).alias("end"), F.count("*").alias("n"), F.max(score).alias("peak")).drop("_event")
+
+
+def votes(frames: DataFrame, vector: str, labels: DataFrame, label: str, label_vector: str, least: float, k: int) -> DataFrame:
+    """(label, n, best, mean): how many frames each label reaches with similarity >= least; by n, then best, first k."""
+    hit = against_labels(frames, [], vector, labels, label, label_vector).where(F.col("s") >= least)
+    out = hit.groupBy(label).agg(F.count("*").alias("n"), F.max("s").alias("best"), F.round(F.avg("s"), 6).alias("mean"))
+    return out.orderBy(F.col("n").desc(), F.col("best").desc(), label).limit(k)
+
+
+def uncertain(frames: DataFrame, key: str, vector: str, labels: DataFrame, label: str, label_vector: str, low: float, high: float, k: int) -> DataFrame:
+    """(key, n): the k frames with the most labels of a similarity from low to high; ties by key."""
+    scored = against_labels(frames, [key], vector, labels, label, label_vector)
+    return scored.groupBy(key).agg(F.count_if(F.col("s").between(low, high)).alias("n")).orderBy(F.col("n").desc(), key).limit(k)
+
+
+def deduplicated(df: DataFrame, entity: str, position: str, vector: str, most: float, keep_first: int) -> DataFrame:
+    """Drops a frame that is as similar as `most` to the last one kept; the first keep_first frames of an entity stay.
+
+    One pass over sorted rows that holds the last kept frame only, however long an
+    entity is. Null vectors are dropped.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = df.select(entity, position, vector).where(F.col(vector).isNotNull())
+
+    def keep(batches):
+        owner, n, last = None, 0, None
+        for pdf in batches:
+            kept = []
+            for i, (e, v) in enumerate(zip(pdf[entity], pdf[vector])):
+                x = np.asarray(v, dtype=float)
+                x = x / max(float(np.linalg.norm(x)), 1e-300)
+                if owner is None or e != owner:
+                    owner, n, last = e, 0, None
+                if n < keep_first or last is None or float(x @ last) < most:
+                    kept.append(i)
+                    last = x
+                n += 1
+            yield pd.DataFrame(pdf.iloc[kept][[entity, position]])
+
+    ordered = rows.repartition(entity).sortWithinPartitions(entity, position)
+    return ordered.mapInPandas(keep, rows.select(entity, position).schema)

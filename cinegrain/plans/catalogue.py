@@ -43,7 +43,7 @@ PLANS = {
     "viewing_stats": f"WITH {_LOG} SELECT count(*) AS items, CAST(sum(CASE WHEN views > 0 THEN 1 ELSE 0 END) AS BIGINT) AS watched, round(CAST(100 * sum(CASE WHEN views > 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS pct, round(avg(CASE WHEN views > 0 THEN CAST(views AS DOUBLE) END), 6) AS avg_views FROM e",
     "rating_distribution": f"WITH {_LOG} SELECT coalesce(CAST(rating AS VARCHAR(9)), 'unrated') AS bucket, count(*) AS n, round(CAST(100 * count(*) AS DOUBLE) / sum(count(*)) OVER (), 6) AS pct FROM e WHERE views > 0 GROUP BY rating",
     "items_by_rating": f"WITH {_LOG} SELECT id, rating FROM e WHERE rating BETWEEN 80 AND 100 ORDER BY rating DESC NULLS LAST, id LIMIT 20",
-    "unwatched": f"WITH {_LOG} SELECT id, count(*) OVER () AS total FROM e WHERE views = 0 ORDER BY id DESC LIMIT 20",
+    "unwatched": f"WITH {_LOG} SELECT id, (SELECT count(*) FROM e WHERE views = 0) AS total FROM e WHERE views = 0 ORDER BY id DESC LIMIT 20",
     "favorites": f"WITH {_LOG} SELECT id, views, peaks FROM e WHERE rating = 100 ORDER BY peaks DESC, views DESC, id LIMIT 20",
     "pattern_hourly": _bucket("CAST(hour(ts) AS INT)", "event_type = 'view'"),
     "pattern_monthly": _bucket("CAST(year(ts) * 100 + month(ts) AS INT)", "event_type = 'view'"),
@@ -81,4 +81,19 @@ PLANS = {
     "timing_summary": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS average, round(100 * sum(value) / sum(sum(value)) OVER (), 6) AS pct FROM {events} GROUP BY event_type",
     "person_attributes": "SELECT id, name, coalesce(country, '') AS country FROM {performers} WHERE favorite AND name IS NOT NULL ORDER BY id LIMIT 20",
     "org_ancestors": "SELECT c.id, c.name, coalesce(p.id, -1) AS parent_id, coalesce(p.name, '') AS parent_name FROM {studios} c LEFT JOIN {studios} p ON p.id = c.parent_id",
+    "cost_running": "SELECT event_id, round(sum(value * 0.25 / 1000000) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 9) AS cost FROM (SELECT min(event_id) AS event_id, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS day, sum(value) AS value FROM {events} GROUP BY 2)",
+    "rate_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY unix_s(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS requests FROM {events}",
+    "caption_reasons": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'missing' WHEN lower(text) LIKE '[error%' THEN 'error' WHEN lower(text) LIKE '%black screen%' THEN 'blank' WHEN lower(text) LIKE '%logo%' THEN 'title' ELSE 'kept' END AS reason FROM {documents}) GROUP BY reason",
+    "error_captions": "SELECT doc_id FROM {documents} WHERE text LIKE '[ERROR%'",
+    "completion_check": "SELECT scene_id, count(*) AS frames, bool_and(coalesce(text, '') <> '' AND text NOT LIKE '[ERROR%') AS complete FROM {documents} WHERE scene_id IS NOT NULL GROUP BY scene_id",
+    "frame_count_validation": "WITH f AS (SELECT scene_id, count(DISTINCT frame_index) AS stored, max(timestamp_s) AS length FROM {frame_embeddings} WHERE model_key = 'siglip' GROUP BY scene_id) SELECT scene_id, stored, greatest(1, CAST(floor(length) AS BIGINT) + 1) AS expected, CASE WHEN stored = greatest(1, CAST(floor(length) AS BIGINT) + 1) THEN 'ok' ELSE 'mismatch' END AS state FROM f",
+    "rating_rule": "SELECT user_id, least(100, 50 + 5 * count(*)) AS rating FROM {events} WHERE event_type = 'view' GROUP BY user_id HAVING count(*) > 10",
+    "resume_points": "SELECT o_orderkey, round(o_totalprice / 500000, 6) AS progress, (SELECT count(*) FROM {orders} WHERE o_totalprice / 500000 BETWEEN 0.05 AND 0.95) AS total FROM {orders} WHERE o_totalprice / 500000 BETWEEN 0.05 AND 0.95 ORDER BY progress DESC, o_orderkey LIMIT 20",
+    "frame_representatives": "WITH s AS (SELECT greatest(1, CAST(floor(count(*) / CAST(count(DISTINCT scene_id) AS DOUBLE) / 16) AS INT)) AS step FROM {frame_embeddings}) SELECT DISTINCT scene_id, model_key, frame_index FROM {frame_embeddings}, s WHERE frame_index % step = 0",
+    "storage_by_org": _storage("n_name", "JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey"),
+    "missing_tags": "SELECT t.id, count(l.item) AS uses FROM (SELECT DISTINCT id FROM {tags}) t LEFT JOIN (SELECT l_orderkey AS item, l_suppkey AS tag FROM {lineitem}) l ON l.tag = t.id GROUP BY t.id HAVING count(l.item) = 0",
+    "person_leaders": f"WITH {_CAST} SELECT person, count(*) AS items, rank() OVER (ORDER BY count(*) DESC) AS place FROM ip WHERE person IN (1, 2, 3, 4, 5) GROUP BY person",
+    "pref_phase": "SELECT user_id, CASE WHEN count(*) < greatest(10, CAST(floor(4 * sqrt(500)) AS INT)) THEN 'broad' WHEN count(*) < greatest(28, CAST(floor(6 * sqrt(500)) AS INT)) THEN 'refine' ELSE 'boundary' END AS phase FROM {events} GROUP BY user_id",
+    "probe_selection": "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR(20)))) AS k FROM {embeddings}) WHERE k = 1",
+    "pagination": "SELECT c_custkey, (SELECT count(*) FROM {customer}) AS total, (SELECT CAST(ceil(count(*) / CAST(20 AS DOUBLE)) AS BIGINT) FROM {customer}) AS pages FROM {customer} ORDER BY c_custkey LIMIT 20 OFFSET 20",
 }

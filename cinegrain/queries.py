@@ -68,8 +68,7 @@ def best_tag_per_frame(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _best(e: DataFrame) -> DataFrame:
-    tags = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("tag"), F.col("embedding").alias("tv"))
-    return frames.best_label(e.withColumnRenamed("label", "item"), ["item", "vec_id"], "embedding", tags, "tag", "tv", 0.3).withColumnRenamed("label", "tag")
+    return frames.best_label(e.withColumnRenamed("label", "item"), ["item", "vec_id"], "embedding", _tags(e), "tag", "tv", 0.3).withColumnRenamed("label", "tag")
 
 
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +118,64 @@ def events_per_day(spark: SparkSession, d: str) -> DataFrame:
     return event_ops.windowed_counts(table(spark, d, "events"), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES = {name: planned(text) for name, text in PLANS.items()} | {f.__name__: f for f in (similar_topk, label_centroids, consecutive_similarity, tag_closure, frame_segments, frame_novelty, best_tag_per_frame, coverage_summary, frame_best_per_group, detection_sessions, rec_discover, rec_rewatch, caption_clean, group_split, tag_merge, events_per_day)}
+def _tags(e: DataFrame) -> DataFrame:
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("tag"), F.col("embedding").alias("tv"))
+
+
+def tag_votes(spark: SparkSession, d: str) -> DataFrame:
+    e = _embeddings(spark, d)
+    return frames.votes(e, "embedding", _tags(e), "tag", "tv", 0.3, 20)
+
+
+def coverage_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return _best(_embeddings(spark, d)).agg(F.round(F.percentile("similarity", 0.05), 6).alias("threshold"))
+
+
+def tag_what_if(spark: SparkSession, d: str) -> DataFrame:
+    e = _embeddings(spark, d)
+    new = F.broadcast(e.where("vec_id = 7").select(F.col("embedding").alias("q")).limit(1))
+    left = _best(e).where(~F.col("covered")).select("vec_id").join(e, "vec_id").crossJoin(new)
+    return left.select(vectors.cosine(F.col("embedding"), F.col("q")).alias("s")).where("s >= 0.2").agg(F.count("*").alias("frames"), F.round(F.avg("s"), 6).alias("mean"), F.max("s").alias("best"))
+
+
+def uncertainty_rank(spark: SparkSession, d: str) -> DataFrame:
+    e = _embeddings(spark, d)
+    return frames.uncertain(e, "vec_id", "embedding", _tags(e), "tag", "tv", 0.25, 0.35, 20)
+
+
+def rec_rewatch_blend(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity to the profile and share of the greatest score, 0.4 to 0.6, over the items that were seen."""
+    scores, e = _scores(spark, d), _embeddings(spark, d)
+    near = recommend.recommend(recommend.profile(scores, e, "vec_id", "embedding", "score"), e, "vec_id", "embedding", scores, 1_000_000, only=True)
+    top = scores.join(e.select("vec_id"), "vec_id", "left_semi").agg(F.max("score").alias("top"))
+    mixed = near.join(scores, "vec_id").crossJoin(F.broadcast(top))
+    return mixed.select("vec_id", F.round(F.col("similarity") * 0.4 + F.col("score") / F.col("top") * 0.6, 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(20)
+
+
+def frame_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return frames.deduplicated(_embeddings(spark, d), "label", "vec_id", "embedding", 0.2, 10)
+
+
+def taste_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """k-means of the item vectors (8 clusters, fixed seed): cluster, size."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = _embeddings(spark, d).select("vec_id", array_to_vector("embedding").alias("features"))
+    return KMeans(k=8, seed=42, maxIter=20).fit(rows).transform(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("size"))
+
+
+def item_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Two principal components of each item vector."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = _embeddings(spark, d).select("vec_id", array_to_vector("embedding").alias("v"))
+    xy = PCA(k=2, inputCol="v", outputCol="c").fit(rows).transform(rows).select("vec_id", vector_to_array("c").alias("c"))
+    return xy.select("vec_id", F.round(F.col("c")[0], 4).alias("x"), F.round(F.col("c")[1], 4).alias("y"))
+
+
+QUERIES = {name: planned(text) for name, text in PLANS.items()} | {f.__name__: f for f in (similar_topk, label_centroids, consecutive_similarity, tag_closure, frame_segments, frame_novelty, best_tag_per_frame, coverage_summary, frame_best_per_group, detection_sessions, rec_discover, rec_rewatch, caption_clean, group_split, tag_merge, events_per_day, tag_votes, coverage_threshold, tag_what_if, uncertainty_rank, rec_rewatch_blend, frame_dedup, taste_clusters, item_coordinates)}
 
 _COS = "round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[]) * list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])), 6)"
 _LAG = "l AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)"
@@ -131,7 +187,12 @@ SQL = {name: _check_text(text) for name, text in PLANS.items()} | {
     "consecutive_similarity": "WITH l AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT label, vec_id, " + _COS.format(a="e", b="p") + " AS similarity FROM l",
     "tag_closure": "WITH RECURSIVE t(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey // 8 = t.id AND p_partkey > 1) SELECT id, min(depth)::INT AS depth FROM t GROUP BY id",
     "frame_segments": "WITH " + _LAG + ", n AS (SELECT label, vec_id, sum(CASE WHEN " + _COS.format(a="e", b="p") + " >= 0 THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY vec_id) AS segment FROM l) SELECT label, segment::BIGINT AS segment, min(vec_id) AS first, max(vec_id) AS last, count(*) AS n FROM n GROUP BY label, segment HAVING count(*) >= 2 OR segment = 1",
-    "frame_novelty": "WITH l AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER w AS p, lag(embedding, 2) OVER w AS r FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT label, vec_id, round(1 - coalesce(greatest(" + _COS.format(a="e", b="p") + ", " + _COS.format(a="e", b="r") + "), 0), 6) AS novelty FROM l",
+    "frame_novelty": "WITH f AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), n AS (SELECT a.label, a.vec_id, avg(list_dot_product(a.e, b.e)) AS m, count(b.k) AS c FROM f a LEFT JOIN f b ON a.label = b.label AND a.k <> b.k AND abs(a.k - b.k) <= 2 GROUP BY 1, 2) SELECT label, vec_id, CASE WHEN c > 0 THEN round((1 - m) * least(1.0, c / 4.0), 6) ELSE 0.0 END::DOUBLE AS novelty FROM n",
+    "tag_votes": "WITH s AS (SELECT g.vec_id AS tag, " + _COS.format(a="f.embedding", b="g.embedding") + " AS s FROM embeddings f, embeddings g WHERE g.vec_id % 20 = 0) SELECT tag, count(*) AS n, max(s) AS best, round(avg(s), 6) AS mean FROM s WHERE s >= 0.3 GROUP BY tag ORDER BY n DESC, best DESC, tag LIMIT 20",
+    "coverage_threshold": "WITH " + _BEST + " SELECT round(quantile_cont(similarity, 0.05), 6) AS threshold FROM o",
+    "tag_what_if": "WITH " + _BEST + ", u AS (SELECT " + _COS.format(a="e.embedding", b="q.embedding") + " AS s FROM o JOIN embeddings e ON e.vec_id = o.vec_id, embeddings q WHERE q.vec_id = 7 AND NOT covered) SELECT count(*) AS frames, round(avg(s), 6) AS mean, max(s) AS best FROM u WHERE s >= 0.2",
+    "uncertainty_rank": "WITH s AS (SELECT f.vec_id, " + _COS.format(a="f.embedding", b="g.embedding") + " AS s FROM embeddings f, embeddings g WHERE g.vec_id % 20 = 0) SELECT vec_id, count(*) FILTER (s BETWEEN 0.25 AND 0.35) AS n FROM s GROUP BY vec_id ORDER BY n DESC, vec_id LIMIT 20",
+    "rec_rewatch_blend": "WITH " + _PROFILE + ", m AS (SELECT vec_id, score, " + _COS.format(a="embedding", b="q") + " AS similarity FROM embeddings JOIN s USING (vec_id), q) SELECT vec_id, round(similarity * 0.4 + score / (SELECT max(score) FROM m) * 0.6, 6) AS score FROM m ORDER BY score DESC, vec_id LIMIT 20",
     "best_tag_per_frame": "WITH " + _BEST + " SELECT * FROM o",
     "coverage_summary": "WITH " + _BEST + " SELECT item, count(*) AS frames, count(*) FILTER (covered) AS covered, round(count(*) FILTER (covered) / count(*), 6) AS share FROM o GROUP BY item",
     "frame_best_per_group": "WITH s AS (SELECT a.label, a.vec_id, " + _COS.format(a="a.embedding", b="q.embedding") + " AS score FROM embeddings a, embeddings q WHERE q.vec_id = 1 AND a.vec_id <> 1) SELECT label, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM s) WHERE k = 1 ORDER BY score DESC, label LIMIT 20",
