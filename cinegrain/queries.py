@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import datasets, frames, recommend, vectors
+from .operators import datasets, frames, preference, recommend, taste, vectors
 from .plans.catalogue import PLANS
 from .shared import table
 from .streaming import events as event_ops
@@ -156,6 +156,40 @@ def frame_dedup(spark: SparkSession, d: str) -> DataFrame:
     return frames.deduplicated(_embeddings(spark, d), "label", "vec_id", "embedding", 0.2, 10)
 
 
+def cluster_representatives(spark: SparkSession, d: str) -> DataFrame:
+    return taste.representatives(_embeddings(spark, d), "label", "vec_id", "embedding")
+
+
+def cluster_share(spark: SparkSession, d: str) -> DataFrame:
+    e = _embeddings(spark, d).join(_scores(spark, d), "vec_id", "left").select("label", F.coalesce("score", F.lit(0)).alias("score"))
+    return taste.shares(e, "label", "score")
+
+
+def similar_blend(spark: SparkSession, d: str) -> DataFrame:
+    """Items by a blend of their vector (0.7) with their neighbour's by id (0.3), against item 0."""
+    e = _embeddings(spark, d)
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("m"))
+    both = e.join(other, "vec_id", "left").select("vec_id", taste.blended(F.col("embedding"), F.col("m"), 0.7).alias("v"))
+    return vectors.similar_to(both, "vec_id", "v", e.where("vec_id = 0").select(F.col("vec_id").alias("q_key"), F.col("embedding").alias("q")), 10)
+
+
+def pref_warm_start(spark: SparkSession, d: str) -> DataFrame:
+    return preference.warm_start(_scores(spark, d).join(_embeddings(spark, d), "vec_id"), "embedding", F.col("score"))
+
+
+def pref_scores(spark: SparkSession, d: str) -> DataFrame:
+    model = pref_warm_start(spark, d).withColumn("variance", F.lit(4.0))
+    return preference.scores(_embeddings(spark, d), "vec_id", "embedding", model)
+
+
+def pref_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Comparisons of neighbours by id within a label: the even one wins."""
+    e = _embeddings(spark, d)
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("l"))
+    pairs = e.where("vec_id % 2 = 0").join(other, "vec_id").select(F.col("label").alias("model"), "vec_id", F.col("embedding").alias("w"), "l")
+    return preference.fold(pairs, "model", "vec_id", "w", "l")
+
+
 def taste_clusters(spark: SparkSession, d: str) -> DataFrame:
     """k-means of the item vectors (8 clusters, fixed seed): cluster, size."""
     from pyspark.ml.clustering import KMeans
@@ -175,7 +209,7 @@ def item_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return xy.select("vec_id", F.round(F.col("c")[0], 4).alias("x"), F.round(F.col("c")[1], 4).alias("y"))
 
 
-QUERIES = {name: planned(text) for name, text in PLANS.items()} | {f.__name__: f for f in (similar_topk, label_centroids, consecutive_similarity, tag_closure, frame_segments, frame_novelty, best_tag_per_frame, coverage_summary, frame_best_per_group, detection_sessions, rec_discover, rec_rewatch, caption_clean, group_split, tag_merge, events_per_day, tag_votes, coverage_threshold, tag_what_if, uncertainty_rank, rec_rewatch_blend, frame_dedup, taste_clusters, item_coordinates)}
+QUERIES = {name: planned(text) for name, text in PLANS.items()} | {f.__name__: f for f in (similar_topk, label_centroids, consecutive_similarity, tag_closure, frame_segments, frame_novelty, best_tag_per_frame, coverage_summary, frame_best_per_group, detection_sessions, rec_discover, rec_rewatch, caption_clean, group_split, tag_merge, events_per_day, tag_votes, coverage_threshold, tag_what_if, uncertainty_rank, rec_rewatch_blend, frame_dedup, taste_clusters, item_coordinates, cluster_representatives, cluster_share, similar_blend, pref_warm_start, pref_scores, pref_fold)}
 
 _COS = "round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[]) * list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])), 6)"
 _LAG = "l AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)"
@@ -201,4 +235,7 @@ SQL = {name: _check_text(text) for name, text in PLANS.items()} | {
     "rec_rewatch": "WITH " + _PROFILE + " SELECT vec_id, " + _COS.format(a="embedding", b="q") + " AS similarity FROM embeddings, q WHERE vec_id IN (SELECT vec_id FROM s) ORDER BY similarity DESC, vec_id LIMIT 20",
     "tag_merge": "SELECT DISTINCT l_orderkey, CASE WHEN l_suppkey IN (2, 3) THEN 1 ELSE l_suppkey END AS l_suppkey FROM lineitem",
     "events_per_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "cluster_share": "WITH s AS (SELECT user_id AS vec_id, count(*) AS score FROM events WHERE event_type = 'view' GROUP BY 1), g AS (SELECT label, count(*) AS items, sum(coalesce(score, 0)) AS s FROM embeddings LEFT JOIN s USING (vec_id) GROUP BY label) SELECT label, items, round(s / sum(s) OVER (), 6) AS share FROM g",
+    "cluster_representatives": "WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings), t AS (SELECT label, pos, sum(v) AS s FROM x GROUP BY 1, 2), u AS (SELECT label, pos, round(s / sqrt(sum(s * s) OVER (PARTITION BY label)), 6) AS v FROM t), c AS (SELECT label, list(v ORDER BY pos) AS c FROM u GROUP BY label), r AS (SELECT label, vec_id, " + _COS.format(a="embedding", b="c") + " AS similarity FROM embeddings JOIN c USING (label)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id)::INT AS place FROM r) WHERE place <= 3",
+    "pref_warm_start": "WITH s AS (SELECT user_id AS vec_id, count(*) AS score FROM events WHERE event_type = 'view' GROUP BY 1), i AS (SELECT score, embedding FROM s JOIN embeddings USING (vec_id)), z AS (SELECT (score - avg(score) OVER ()) / stddev_pop(score) OVER () AS y, embedding FROM i), x AS (SELECT y, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS v FROM z), b AS (SELECT pos, sum(v * y) / (sum(v * v) + 1) AS b FROM x GROUP BY pos) SELECT pos, round(b / sqrt(sum(b * b) OVER ()), 6) AS mean FROM b",
 }
