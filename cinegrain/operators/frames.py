@@ -38,19 +38,56 @@ def novelty(df: DataFrame, entity: list[str], position: str, vector: str, width:
 
 
 def against_labels(frames: DataFrame, key: list[str], vector: str, labels: DataFrame, label: str, label_vector: str) -> DataFrame:
-    """key, label, s: the similarity of each frame to each label, for an aggregate that follows.
+    """key, label, s: the cosine of each frame to each label, to six decimals, for an aggregate that follows; zero, null and ill-sized vectors are left out.
 
-    The labels are counted first; up to LABELS of them are sent to the tasks, more
-    in blocks by a hash, each against all frames.
+    The labels are counted first; up to LABELS of them are sent to the tasks as one
+    matrix, more as several by a hash, each against all frames. A batch of frames
+    is one product of matrices.
     """
-    side = labels.select(F.col(label).alias("_label"), F.col(label_vector).alias("_v"))
-    blocks = max(1, -(-labels.count() // LABELS))
+    side = labels.select(F.col(label).alias("_label"), F.col(label_vector).alias("_v")).where(F.col("_label").isNotNull() & (F.size("_v") > 0))
+    blocks = max(1, -(-side.count() // LABELS))
+    rows = frames.select(*key, F.col(vector).alias("_x"))
+    kind = labels.schema[label].dataType.simpleString()
+    schema = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in key], f"{label} {kind}", "s double"])
     out = None
     for b in range(blocks):
-        part = F.broadcast(side if blocks == 1 else side.where(F.pmod(F.xxhash64("_label"), F.lit(blocks)) == b))
-        scored = frames.select(*key, vector).crossJoin(part).select(*key, F.col("_label").alias(label), cosine(F.col(vector), F.col("_v")).alias("s"))
+        part = side if blocks == 1 else side.where(F.pmod(F.xxhash64("_label"), F.lit(blocks)) == b)
+        table = part.toArrow().combine_chunks()
+        scored = rows.mapInArrow(_products(frames.sparkSession.sparkContext.broadcast(table), key, label), schema)
         out = scored if out is None else out.unionByName(scored)
-    return out.where(F.col("s").isNotNull())
+    return out
+
+
+def _products(sent, key: list[str], label: str):
+    import numpy as np
+    import pyarrow as pa
+
+    def unit(lists: pa.Array, width: int) -> tuple:
+        rows = [i for i, v in enumerate(lists.to_pylist()) if v is not None and len(v) == width and None not in v]
+        flat = lists.take(pa.array(rows, pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+        length = np.sqrt((flat * flat).sum(axis=1))
+        good = np.isfinite(length) & (length > 0)
+        return np.array(rows, dtype=np.int64)[good], flat[good] / length[good][:, None]
+
+    def run(batches):
+        table = sent.value
+        if not table.num_rows:
+            return
+        vectors = table.column("_v").combine_chunks()
+        width = len(vectors[0])
+        which, t = unit(vectors, width)
+        names = table.column("_label").combine_chunks().take(pa.array(which))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                b = batch.slice(start, 512)
+                own, x = unit(b.column("_x"), width)
+                if not len(own) or not len(which):
+                    continue
+                s = np.round(x @ t.T, 6)
+                frame, tag = pa.array(np.repeat(own, len(which))), pa.array(np.tile(np.arange(len(which)), len(own)))
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(frame) for k in key], names.take(tag), pa.array(s.ravel())], names=[*key, label, "s"])
+
+    return run
 
 
 def best_label(frames: DataFrame, key: list[str], vector: str, labels: DataFrame, label: str, label_vector: str, covered: float) -> DataFrame:
