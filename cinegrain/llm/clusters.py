@@ -7,7 +7,10 @@ that sums per node and side in every task before the shuffle. The leaves are the
 cells in which similar vectors meet.
 
 A split may cut through a group. Rows within a margin of the plane between two
-centres therefore also visit the other side. In every leaf each row learns the
+centres therefore also visit the other side, and go on there with twice the margin.
+Of two similar rows the one nearer to the plane that parts them is at most half their
+distance from it, and no plane after that is further than their distance, so it ends
+in the other's own leaf. In every leaf each row learns the
 number, the smallest id and a fingerprint of the rows that are similar to it. Rows
 with the same neighbours as each other, as many as there are, are a group whose
 members are all similar and that nobody outside reaches.
@@ -30,12 +33,11 @@ from pyspark.sql import functions as F
 from ..shared import stored
 from .tables import DIMENSIONS, unit, usable_rows
 
-#: Rows of a leaf that is not compact, rows stored in one block of it, nodes of the tree, Lloyd steps, width of the margin.
+#: Rows of a leaf that is not compact, rows stored in one block of it, nodes of the tree, Lloyd steps.
 LEAF = 4096
 BLOCK = 8192
 NODES = 65_536
 STEPS = 2
-MARGIN = 0.1
 
 
 class Tree:
@@ -70,18 +72,19 @@ class Tree:
         return np.array(levels).T
 
     def reaches(self, x: np.ndarray, leaf: np.ndarray, margin: float) -> np.ndarray:
-        """Whether each row is in its leaf or visits it: no plane on the way has the row further than margin on the wrong side."""
-        ok, below = np.ones(len(x), dtype=bool), leaf
-        for node in self.path_to(leaf).T:
+        """Whether each row is in its leaf or visits it: the first plane that has the row on the wrong side is within margin, later ones within twice that."""
+        ok, crossed = np.ones(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
+        path = np.column_stack([leaf, self.path_to(leaf)])
+        for node, below in zip(path.T[:0:-1], path.T[-2::-1]):  # from the root down
             at = np.maximum(node, 0)
             away = np.einsum("ij,ij->i", x, self.plane[at]) - self.offset[at]
-            right = self.child[at, 1] == below
-            ok &= (node < 0) | (np.where(right, -away, away) <= margin) | (right & (away > 0)) | (~right & (away <= 0))
-            below = np.where(node >= 0, node, below)
+            wrong = (node >= 0) & ((away > 0) != (self.child[at, 1] == below))
+            ok &= ~wrong | (np.abs(away) <= np.where(crossed, 2 * margin, margin))
+            crossed |= wrong
         return ok
 
     def visits(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, home): every row in its own leaf, and in those beyond a plane that is at most `margin` away."""
+        """(row, leaf, home): every row in its own leaf, and in those beyond a plane that is at most `margin` away, or twice that if it has left its own side before."""
         row, node, home = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.ones(len(x), dtype=bool)
         done: list[tuple] = []
         while len(row):
@@ -90,7 +93,7 @@ class Tree:
             row, node, home = row[~at_leaf], node[~at_leaf], home[~at_leaf]
             away = np.einsum("ij,ij->i", x[row], self.plane[node]) - self.offset[node]
             side = (away > 0).astype(np.int64)
-            both = np.abs(away) <= margin
+            both = np.abs(away) <= np.where(home, margin, 2 * margin)
             row, home = np.concatenate([row, row[both]]), np.concatenate([home, np.zeros(both.sum(), dtype=bool)])
             node = np.concatenate([self.child[node, side], self.child[node[both], 1 - side[both]]])
         return tuple(np.concatenate(parts) for parts in zip(*done)) if done else (row, node, home)
@@ -310,17 +313,17 @@ def _neighbours(tree: Tree, margin: float, least: float):
     return run
 
 
-def similar_groups(rows: DataFrame, least: float = 0.9, smallest: int = 3, leaf: int = LEAF, margin: float = MARGIN, block: int = BLOCK, tree: Tree | None = None) -> DataFrame:
+def similar_groups(rows: DataFrame, least: float = 0.9, smallest: int = 3, leaf: int = LEAF, margin: float | None = None, block: int = BLOCK, tree: Tree | None = None) -> DataFrame:
     """(cluster_id, id): the groups of at least `smallest` rows, each two similar by cosine >= least, that no other row reaches.
 
     rows has a unique id and a usable vector v per row (see vector_rows.usable);
     cluster_id is the smallest id of the group. Rows in no such group don't come
     out; equal vectors are similar; an empty table gives no rows.
 
-    margin = sqrt((1 - least) / 2) finds every similar pair; the smaller default
-    misses a pair only if a plane passes between its two rows at more than the
-    margin from both.
+    The default margin, sqrt((1 - least) / 2), is half the greatest distance of two similar
+    rows and finds every similar pair; a smaller one misses some.
     """
+    margin = math.sqrt((1 - least) / 2) + 1e-9 if margin is None else margin
     tree = bisect(rows, least, leaf) if tree is None else tree
     placed = rows.select("id", "v").mapInArrow(_spread(tree, margin, least, block), "leaf long, blk int, role int, id long, v array<float>, own boolean")
     asked = placed.repartition("leaf", "blk").sortWithinPartitions("leaf", "blk").mapInArrow(_neighbours(tree, margin, least), "id long, n long, least long, print long")

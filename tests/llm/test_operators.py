@@ -122,6 +122,38 @@ def test_groups_and_neighbours_equal_brute_force(spark):
     assert nearest.nearest(rows.limit(0), "g", "id", "b", "v").count() == 0
 
 
+def _groups(x, least=0.9, smallest=3):
+    u = tables.unit(x)
+    near = (u @ u.T >= least - 1e-12)
+    _, kind, n = np.unique(np.packbits(near, axis=1), axis=0, return_inverse=True, return_counts=True)
+    kind = kind.ravel()
+    return {(int(r.argmax()), i) for i, r in enumerate(near) if r.sum() >= smallest and n[kind[i]] == r.sum()}
+
+
+def test_a_group_larger_than_a_leaf_stays_whole(spark):
+    g = np.random.default_rng(4)
+    lobes = np.eye(3, 40, 1) * np.sqrt(0.095)  # cosine 0.905 to each other
+    lobes[:, 0] = np.sqrt(0.905)
+    x = np.float32(np.vstack([lobes[np.arange(5000) % 3] + g.normal(size=(5000, 40)) * 0.001, g.normal(size=(600, 40))]))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<float>")
+    want = _groups(x)
+    assert len(want) == 5000 > clusters.LEAF
+    assert {tuple(r) for r in clusters.similar_groups(df).collect()} == want
+
+
+def test_a_pair_that_two_planes_part_is_found(spark):
+    x = np.zeros((4, 40))
+    x[:3, 0], x[:3, 1] = (-0.05, 0.25, 0.25), (-0.25, 0.08, 0.08)
+    x[:, 39] = np.sqrt(1 - (x**2).sum(axis=1))
+    x[3, :3] = 0, 0, 0.9
+    tree = clusters.Tree()
+    tree.plane, tree.offset, tree.count, tree.mean = np.zeros((5, 40)), np.zeros(5), np.ones(5, dtype=np.int64), np.zeros((5, 40))
+    tree.child = np.array([[1, 2], [-1, -1], [3, 4], [-1, -1], [-1, -1]])
+    tree.plane[0, 0] = tree.plane[2, 1] = 1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<float>")
+    assert {tuple(r) for r in clusters.similar_groups(df, tree=tree).collect()} == _groups(x) == {(0, 0), (0, 1), (0, 2)}
+
+
 def test_usable(spark):
     bad = [None, [], [1.0] * 39, [None] * 40, [float("inf")] * 40, [0.0] * 40]
     df = spark.createDataFrame([(i, v) for i, v in enumerate([*bad, [1.0] * 40])], "id long, v array<float>")
