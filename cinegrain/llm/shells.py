@@ -1,10 +1,9 @@
 """Problem 9: texts that are left-over template, filler, an error page or a demand for scripts.
 
-Records of one template are aligned: a sentence with its placeholder marks and
-default values taken out is the template's frame, and what stood there are the
-slots. Over all documents a place of a frame is a slot if the records differ
-there, and a name is a variable if it stands in several kinds of marks. A document is flagged
-for a slot that still has a variable's name or a default value; a mark that is
+Marks and default values are told by a list of patterns, a document at a time; templates are not induced.
+A sentence with default values, these taken out, is a frame; it counts if it has two of them, or if
+over all documents its records hold different ones. Records with other values in these places
+are not aligned with it. An ambiguous mark counts if its name stands in several kinds of marks; a mark that is
 quoted, or named as an example, is talk about templates.
 
 Whole pages are told by their sentences: a page is flagged if it has a sentence of
