@@ -8,11 +8,14 @@ quoted, or named as an example, is talk about templates.
 
 Whole pages are told by their sentences: a page is flagged if it has a sentence of
 an error, a notice or filler and nothing but such sentences and page furniture, or
-if it repeats, numbers aside, a page of other documents that has an error's signs.
+if it repeats, numbers aside, a page of other documents that has an error's signs: one
+whose first line is an error's or that has a fifth of its words in such sentences, or a
+short one of which the numbers differ.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -27,6 +30,10 @@ from .words import INVISIBLE, LOOKALIKES
 #: Records of a frame or a page that make a template; kinds of marks that make a name a variable.
 RECORDS = 3
 MARK_KINDS = 3
+#: Of a repeated page: share of its words in known sentences, words of a first line that is a heading; without these, greatest length.
+SHARE = 0.2
+HEADING = 12
+SHORT = 600
 
 # ---- Fixed values: marks of template languages, default values, sentences of shells (folded: lower case, no accents).
 
@@ -265,14 +272,15 @@ def frames_of(text: str) -> list[tuple[str, list[str]]]:
     return out
 
 
-def page(text: str) -> tuple[bool, bool]:
-    """(a shell by its own sentences, has signs of one) for a folded text."""
+def page(text: str) -> tuple[bool, bool, bool]:
+    """(a shell by its own sentences, has signs of one, one if it is repeated) for a folded text."""
     low = text.lower()
     if not _HINT.search(low):
-        return False, False
+        return False, False, False
     known = other = cues = 0
     filler: set[str] = set()
-    for segment in _SEGMENT.split(_TAG.sub("\n", low)):
+    plain = _TAG.sub("\n", low)
+    for segment in _SEGMENT.split(plain):
         segment = segment.strip(" \t\r-*>#|=")
         n = len(_TOKEN.findall(segment))
         if not n:
@@ -290,7 +298,13 @@ def page(text: str) -> tuple[bool, bool]:
             known += n
         else:
             other += n
-    return cues > 0 and other <= 0.25 * known, cues > 0
+    first = next((line for line in (x.strip(" \t\r-*>#|=") for x in plain.split("\n")) if _TOKEN.search(line)), "")
+    heading = len(_TOKEN.findall(first)) <= HEADING and bool(_CUE.match(first))
+    return cues > 0 and other <= 0.25 * known, cues > 0, cues > 0 and (heading or known >= SHARE * (known + other))
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode(errors="replace"), digest_size=16).hexdigest()
 
 
 def evidence(text: str) -> list[tuple[str, str, str, bool]]:
@@ -302,11 +316,15 @@ def evidence(text: str) -> list[tuple[str, str, str, bool]]:
     for frame, values in frames_of(folded):
         for slot, value in enumerate(values):
             out.add(("slot", f"{frame}\x01{slot}", value, len(values) > 1))
-    shell, signs = page(folded)
+    shell, signs, chiefly = page(folded)
     if shell:
         out.add(("page", "", "", True))
-    elif signs and len(folded) <= 600:
-        out.add(("skeleton", re.sub(r"\s+", " ", _NUMBER.sub("0", folded.lower())).strip(), folded.strip(), False))
+    elif signs and (chiefly or len(folded) <= SHORT):
+        skeleton = _digest(re.sub(r"\s+", " ", _NUMBER.sub("0", folded.lower())).strip())
+        if chiefly:
+            out.add(("repeat", skeleton, "", False))
+        if len(folded) <= SHORT:
+            out.add(("skeleton", skeleton, _digest(folded.strip()), False))
     return sorted(out)
 
 
@@ -337,6 +355,7 @@ def find_shells(df: DataFrame, key: str, text: str) -> DataFrame:
     template = kinds.where(
         ((F.col("what") == "mark") & (F.col("values") >= MARK_KINDS))
         | ((F.col("what") == "slot") & (F.col("records") >= RECORDS) & (F.col("values") > 1))
+        | ((F.col("what") == "repeat") & (F.col("records") >= RECORDS))
         | ((F.col("what") == "skeleton") & (F.col("records") >= RECORDS) & (F.col("values") > 1))
     ).select("what", "name")
     own = seen.where(F.col("sure")).select("k", "what")

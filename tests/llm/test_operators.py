@@ -195,3 +195,13 @@ def test_shells(spark):
     got = {r.doc_id for r in shells.find_shells(df, "doc_id", "text").collect()}
     assert got == {*range(len(shell)), len(shell) + len(fine)}
     assert shells.find_shells(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_repeated_pages_of_any_length(spark):
+    notice = " ".join(f"Our keepers {v} the {n} so that every visitor may walk on later." for v in ("mend", "sweep", "paint", "oil") for n in ("gate", "bridge", "lantern", "stair"))
+    prose = "The ferry left at noon. The server could not carry the tray. " + notice
+    page = "<h1>503 Service Unavailable</h1>\n" + notice
+    assert len(notice) > 600 and not shells.page(shells.fold(page))[0]
+    texts = [page] * 3 + [prose] * 3 + [page.replace("503", "502").replace("gate", "well")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in shells.find_shells(df, "doc_id", "text").collect()} == {0, 1, 2}
