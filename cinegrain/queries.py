@@ -146,7 +146,7 @@ def uncertainty_rank(spark: SparkSession, d: str) -> DataFrame:
 def rec_rewatch_blend(spark: SparkSession, d: str) -> DataFrame:
     """Similarity to the profile and share of the greatest score, 0.4 to 0.6, over the items that were seen."""
     scores, e = _scores(spark, d), _embeddings(spark, d)
-    near = recommend.recommend(recommend.profile(scores, e, "vec_id", "embedding", "score"), e, "vec_id", "embedding", scores, 1_000_000, only=True)
+    near = recommend.recommend(recommend.profile(scores, e, "vec_id", "embedding", "score"), e, "vec_id", "embedding", scores, None, only=True)
     top = scores.join(e.select("vec_id"), "vec_id", "left_semi").agg(F.max("score").alias("top"))
     mixed = near.join(scores, "vec_id").crossJoin(F.broadcast(top))
     return mixed.select("vec_id", F.round(F.col("similarity") * 0.4 + F.col("score") / F.col("top") * 0.6, 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(20)

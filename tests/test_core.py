@@ -47,6 +47,19 @@ def test_recommend_leaves_out_what_was_seen(spark):
     assert [r.id for r in recommend.recommend(p, v, "id", "v", scores, 5, only=True).collect()] == [0]
 
 
+def test_rewatch_blend_ranks_all_seen_items(spark, tmp_path):
+    from cinegrain import queries
+
+    n = 1_000_001
+    items = spark.range(n).withColumn("far", F.col("id") == 7)
+    vector = F.when(F.col("far"), F.array(F.lit(1.0), F.lit(-1.0))).when(F.col("id") % 2 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    items.select(F.col("id").alias("vec_id"), vector.alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    views = items.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("far"), 50).otherwise(1))))
+    views.select(F.col("id").alias("user_id"), F.lit("view").alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
+    top = queries.rec_rewatch_blend(spark, str(tmp_path)).collect()
+    assert top[0].vec_id == 7 and len(top) == 20
+
+
 def test_datasets(spark):
     df = spark.createDataFrame([(1, " a \n b "), (2, "  "), (3, None)], "g long, t string")
     assert [r.c for r in df.select(datasets.clean_caption(F.col("t")).alias("c")).collect()] == ["a b", None, None]
