@@ -139,10 +139,8 @@ def similar_records(df: DataFrame, key: str, members: str, threshold: float = 0.
     gives no rows; other columns are not read.
 
     Equal sets are joined once. A group of equal sets is written out as all its
-    pairs, and in its pairs with other groups by each member, as long as it has
-    at most `copies` records; a larger group by the pairs of its smallest key
-    with each member, and elsewhere by its smallest key: no link between
-    different sets is lost, and no group is squared.
+    pairs, and in its pairs with other groups by each member; a group of more
+    than `copies` records in blocks of about so many, a task per pair of blocks.
     """
     sets = distinct_sets(df, key, members, least_size)
     classes = stored(sets, "set-classes")
@@ -150,14 +148,15 @@ def similar_records(df: DataFrame, key: str, members: str, threshold: float = 0.
     of = of.select("record", F.struct(F.xxhash64("m").alias("x"), F.xxhash64(F.lit(1), "m").alias("y")).alias("set_key"))
     member = of.join(classes.where(F.col("copies") > 1).select("set_key", "rep", "copies"), "set_key").select("record", "rep", "copies")
     member = stored(member, "set-members")
-    one = member.select("rep", "copies", F.col("record").alias("a"))
-    other = member.select("rep", F.col("record").alias("b"))
-    small = one.where(F.col("copies") <= copies).join(other, "rep").where(F.col("a") < F.col("b")).select("a", "b")
-    star = member.where((F.col("copies") > copies) & (F.col("record") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("record").alias("b"))
+    blocks = _blocks(F.col("copies"), copies)
+    placed = member.select("record", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("record"), blocks.cast("bigint")).cast("int").alias("own"))
+    spread = placed.select("record", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    one = spread.select("rep", F.col("own").alias("i"), F.col("block").alias("j"), F.col("record").alias("a"))
+    other = spread.select("rep", F.col("block").alias("i"), F.col("own").alias("j"), F.col("record").alias("b"))
+    equal = one.join(other, ["rep", "i", "j"]).where(F.col("a") < F.col("b")).select("a", "b")
     pairs = similar_sets(classes, threshold).select("rep_a", "rep_b")
-    shown = member.where(F.col("copies") <= copies)
-    a = shown.select(F.col("rep").alias("rep_a"), F.col("record").alias("x"))
-    b = shown.select(F.col("rep").alias("rep_b"), F.col("record").alias("y"))
+    a = member.select(F.col("rep").alias("rep_a"), F.col("record").alias("x"))
+    b = member.select(F.col("rep").alias("rep_b"), F.col("record").alias("y"))
     crossed = pairs.join(a, "rep_a", "left").join(b, "rep_b", "left").select(F.coalesce("x", "rep_a").alias("x"), F.coalesce("y", "rep_b").alias("y"))
     crossed = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return crossed.unionByName(small).unionByName(star)
+    return crossed.unionByName(equal)

@@ -49,6 +49,13 @@ def test_set_join_equals_brute_force(spark, frequent):
     assert star <= want
 
 
+@pytest.mark.parametrize("n", [64, 65])
+def test_many_equal_sets_come_out_as_all_pairs(spark, n):
+    sets = {i: [1, 2, 3, 4, 5] for i in range(n)} | {n: [1, 2, 3, 4]}
+    got = [tuple(r) for r in set_join.similar_records(spark.createDataFrame(list(sets.items()), "id long, m array<long>"), "id", "m", 0.8, 4).collect()]
+    assert sorted(got) == list(itertools.combinations(range(n + 1), 2))
+
+
 def test_runs_over_chunks_and_dirt(spark):
     base = np.zeros(40)
     base[0] = 1
