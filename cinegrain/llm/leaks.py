@@ -1,19 +1,22 @@
 """Problem 8: evaluation texts in training text, by rare n-gram seeds and local alignment.
 
-Seeds are runs of a few words that few evaluation items hold. Where several seeds of
-one item lie close together in a document, in the item's order, the two stretches
-are aligned word by word (Smith-Waterman, linear gaps). The alignment counts
-altered, added and dropped words against the shared ones, so a copy with one word
-in eight changed passes and any number of short shared phrases doesn't.
-
-The documents are read once and never shuffled: what is found in a document
-depends on the document and the items alone, so neither a hot item nor a copied
-document makes a hot task.
+A seed is the shortest run of 3, 5 or 7 words from a place of an item that few
+items hold; how many hold it is counted once over all items. Where even the
+longest is held by many, it is a seed all the same, so variants of one item lose
+no place. A longer seed weighs as much as the three-word seeds it covers. Where
+seeds of one item lie close together in a document, in the item's order, the two
+stretches are aligned word by word (Smith-Waterman, linear gaps). The alignment
+counts altered, added and dropped words against the shared ones, so a copy with one
+word in eight changed passes and any number of short shared phrases doesn't.
+
+The documents are never shuffled: what is found in a document depends on the
+document and the items alone, so neither a hot item nor a copied document makes a
+hot task, and into how many indexes the items are cut changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,216 +24,256 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .words import words
 
-#: Words of a seed; items (distinct texts) that may hold a seed, as a share and at least; seeds within a window that make a candidate.
-SEED = 3
-RARE_SHARE, RARE_LEAST = 0.03, 3
+#: Words of a seed, shortest first, and the different items that may hold one before it grows (the longest may be held by any number).
+SEEDS = (3, 5, 7)
+RARE = 8
+#: Weight of the seeds within a window that make a candidate; places of one diagonal band.
 HITS, WINDOW, BAND = 4, 20, 16
 #: A leak: words of the alignment that agree, and its score (agreeing words less altered, added and dropped ones).
 AGREE, SCORE = 17, 14
+#: Words of a passage; a shorter item must be there as a whole, and one under the least can't be told from a phrase.
+PASSAGE, LEAST = 20, 8
 #: Words of items that one index may hold; more items are handled as several indexes, one after the other.
 INDEX_WORDS = 4_000_000
 
 
+def needed(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(equal words, score, weight of seeds) that an item of so many words must reach."""
+    short = length < PASSAGE
+    agree = np.where(short, np.ceil(length * 7 / 8), AGREE)
+    score = np.where(short, np.ceil(length * SCORE / PASSAGE), SCORE)
+    hits = np.clip(length - 2 - 3 * (length // 8), 1, HITS)
+    return agree.astype(np.int64), score.astype(np.int64), hits.astype(np.int64)
+
+
+def _rolled(tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of n numbers, and whether all of a run's are known (not negative)."""
+    m = max(0, len(tokens) - n + 1)
+    h, known = np.zeros(m, dtype=np.uint64), np.ones(m, dtype=bool)
+    x = (tokens + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    for k in range(n):
+        h = h * np.uint64(0x94D049BB133111EB) + x[k : k + m]
+        known &= tokens[k : k + m] >= 0
+    return h, known
+
+
 @dataclass
 class ItemIndex:
-    """The items' words as numbers and where each rare seed occurs."""
+    """The items' words as numbers and, for each length, where each seed occurs."""
 
     vocabulary: dict[str, int]
     texts: list[np.ndarray]
-    ids: list[int]
-    keys: np.ndarray  # sorted seeds
-    first: np.ndarray  # where the places of each seed begin, and the end
-    item: np.ndarray
-    at: np.ndarray
-
-    @property
-    def base(self) -> int:
-        return len(self.vocabulary) + 1
-
-    def seeds(self, tokens: np.ndarray) -> np.ndarray:
-        """The seed at each place, -1 where a word is in no item."""
-        n = len(tokens) - SEED + 1
-        if n < 1:
-            return np.empty(0, dtype=np.int64)
-        key, known = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-        for k in range(SEED):
-            part = tokens[k : k + n]
-            key = key * self.base + part
-            known &= part >= 0
-        return np.where(known, key, -1)
-
-
-def build_index(items: list[tuple[int, str]]) -> ItemIndex:
-    """The index of (id, text) pairs; null and empty texts have no words and can't leak."""
-    split = [(i, words(t)) for i, t in sorted(items, key=lambda x: x[0]) if t]
-    split = [(i, w) for i, w in split if w]
+    ids: list
+    places: dict[int, tuple]  # length: sorted seeds, where the places of each begin and the end, item, place
+
+
+def build_index(items: Iterable[tuple]) -> ItemIndex:
+    """The index of (id, words, {length: places whose seed of that length many items hold}); items under LEAST words can't leak."""
     vocabulary: dict[str, int] = {}
-    for _, w in split:
-        for x in w:
-            vocabulary.setdefault(x, len(vocabulary))
-    texts = [np.array([vocabulary[x] for x in w], dtype=np.int64) for _, w in split]
-    index = ItemIndex(vocabulary, texts, [i for i, _ in split], *[np.empty(0, dtype=np.int64)] * 4)
-    if index.base**SEED >= 1 << 62:
-        raise ValueError("too many different words for one index")
-    seeds = [index.seeds(t) for t in texts]
-    item = np.repeat(np.arange(len(texts)), [len(s) for s in seeds])
-    at = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.empty(0, dtype=np.int64)
-    key = np.concatenate(seeds) if seeds else np.empty(0, dtype=np.int64)
-    # Equal texts count once for how rare a seed is.
-    kind = np.unique([t.tobytes() for t in texts], return_inverse=True)[1] if texts else np.empty(0, dtype=np.int64)
-    limit = max(RARE_LEAST, int(RARE_SHARE * (int(kind.max()) + 1))) if texts else 0
-    if len(key):
-        pairs = np.unique(np.stack([key, kind[item]]), axis=1)
-        held, count = np.unique(pairs[0], return_counts=True)
-        rare = count[np.searchsorted(held, key)] <= limit
-        key, item, at = key[rare], item[rare], at[rare]
-    order = np.argsort(key, kind="stable")
-    index.item, index.at = item[order], at[order]
-    index.keys, start = np.unique(key[order], return_index=True)
-    index.first = np.append(start, len(key))
-    return index
-
-
-def candidates(index: ItemIndex, tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    texts, ids, common = [], [], []
+    for i, w, many in items:
+        if len(w) >= LEAST:
+            texts.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], dtype=np.int64))
+            ids.append(i)
+            common.append(many)
+    places = {}
+    open_at = [np.ones(len(t), dtype=bool) for t in texts]  # places without a seed so far
+    for n in SEEDS:
+        keys, item, at = [], [], []
+        for k, t in enumerate(texts):
+            h, _ = _rolled(t, n)
+            take = open_at[k][: len(h)].copy()
+            if n < SEEDS[-1]:
+                take[[p for p in common[k].get(n, ()) if p < len(h)]] = False
+            own = np.flatnonzero(take)
+            open_at[k][own] = False
+            keys.append(h[own])
+            item.append(np.full(len(own), k))
+            at.append(own)
+        if texts:
+            key, item, at = np.concatenate(keys), np.concatenate(item), np.concatenate(at)
+            order = np.argsort(key, kind="stable")
+            sorted_keys, start = np.unique(key[order], return_index=True)
+            if len(sorted_keys):
+                places[n] = sorted_keys, np.append(start, len(key)), item[order], at[order]
+    return ItemIndex(vocabulary, texts, ids, places)
+
+
+def candidates(index: ItemIndex, tokens: np.ndarray, doc: np.ndarray, hits: np.ndarray) -> np.ndarray:
     """Rows (document, item, place in the document, place in the item): one for each band of the diagonal in which seeds crowd.
 
-    tokens: the words of several documents, each followed by SEED of -1; doc: whose they are.
+    tokens: the words of several documents, each followed by as many -1 as the longest seed has words; doc: whose they are.
     """
-    key = index.seeds(tokens)
-    if not len(index.keys) or not len(key):
-        return np.empty((0, 4), dtype=np.int64)
-    place = np.minimum(np.searchsorted(index.keys, key), len(index.keys) - 1)
-    q = np.flatnonzero((index.keys[place] == key) & (key >= 0))
-    n = index.first[place[q] + 1] - index.first[place[q]]
-    q2 = np.repeat(q, n)
-    j = np.arange(len(q2)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.first[place[q]], n)
-    d, item, p = doc[q2], index.item[j], index.at[j]
+    parts = []
+    for n, (keys, first, items, places) in index.places.items():
+        key, known = _rolled(tokens, n)
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        q = np.flatnonzero((keys[place] == key) & known)
+        count = first[place[q] + 1] - first[place[q]]
+        j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[place[q]], count)
+        q = np.repeat(q, count)
+        parts.append((doc[q], items[j], places[j], q, np.full(len(q), n - SEEDS[0] + 1)))
+    none = np.empty((0, 4), dtype=np.int64)
+    if not parts:
+        return none
+    d, item, p, q, weight = (np.concatenate(c) for c in zip(*parts))
+    if not len(d):
+        return none
     out = []
     for shift in (0, BAND // 2):  # two overlapping sets of bands
-        band = (q2 - p + shift) // BAND
-        order = np.lexsort((q2, p, band, item, d))
-        d_, i_, b_, p_, q_ = d[order], item[order], band[order], p[order], q2[order]
-        same = (d_[1:] == d_[:-1]) & (i_[1:] == i_[:-1]) & (b_[1:] == b_[:-1])
-        new = np.append(True, ~same | (p_[1:] != p_[:-1]))[: len(d_)]  # a place of the item counts once
-        d_, i_, b_, p_, q_ = d_[new], i_[new], b_[new], p_[new], q_[new]
-        if len(d_) < HITS:
-            continue
-        k = HITS - 1
-        crowd = (d_[k:] == d_[:-k]) & (i_[k:] == i_[:-k]) & (b_[k:] == b_[:-k]) & (p_[k:] - p_[:-k] < WINDOW)
-        c = np.flatnonzero(crowd)
-        rows = np.stack([d_[c], i_[c], q_[c], p_[c], b_[c]], axis=1)
-        first = np.append(True, (rows[1:, [0, 1, 4]] != rows[:-1, [0, 1, 4]]).any(axis=1))[: len(rows)]
-        out.append(rows[first][:, :4])
-    return np.concatenate(out) if out else np.empty((0, 4), dtype=np.int64)
-
-
-def alignment_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The best local alignment score of each row of a with the row of b: +1 for an equal word, -1 for any change.
-
-    A row of cells at a time: gaps along the row are a running maximum of the
-    cells with the gap's cost added back.
+        band = (q - p + shift) // BAND
+        order = np.lexsort((q, -weight, p, band, item, d))
+        d_, i_, b_, p_, q_, w_ = (c[order] for c in (d, item, band, p, q, weight))
+        new = np.ones(len(d_), dtype=bool)
+        new[1:] = (d_[1:] != d_[:-1]) | (i_[1:] != i_[:-1]) | (b_[1:] != b_[:-1])
+        group = np.cumsum(new)
+        once = new.copy()
+        once[1:] |= p_[1:] != p_[:-1]  # a place of the item counts once
+        group, d_, i_, p_, q_, w_ = (c[once] for c in (group, d_, i_, p_, q_, w_))
+        line = group * (int(p_.max()) + WINDOW + 1) + p_
+        total = np.append(0, np.cumsum(w_))
+        begin = np.maximum(np.searchsorted(line, line - WINDOW + 1), np.searchsorted(group, group))
+        c = np.flatnonzero(total[1:] - total[begin] >= hits[i_])
+        c = c[np.append(True, group[c][1:] != group[c][:-1])] if len(c) else c
+        out.append(np.stack([d_[c], i_[c], q_[c], p_[c]], axis=1))
+    return np.concatenate(out)
+
+
+_UNIT = 1 << 20
+
+
+def alignments(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(score, equal words) of the best local alignment of each row of a with the row of b: +1 for an equal word, -1 for any change.
+
+    Of several alignments of one score that with the most equal words. A cell is
+    score * 2**20 + equal words. A row of cells at a time: gaps along the row are a
+    running maximum of the cells with the gap's cost added back.
     """
-    cost = np.arange(b.shape[1], dtype=np.int16)
-    above, best = np.zeros(b.shape, dtype=np.int16), np.zeros(len(a), dtype=np.int16)
+    cost = np.arange(b.shape[1], dtype=np.int64) * _UNIT
+    above, best = np.zeros(b.shape, dtype=np.int64), np.zeros(len(a), dtype=np.int64)
     for i in range(a.shape[1]):
-        step = np.where(b == a[:, i : i + 1], np.int16(1), np.int16(-1))
-        cell = np.maximum(above - 1, 0)
+        step = np.where(b == a[:, i : i + 1], _UNIT + 1, -_UNIT)
+        cell = np.maximum(above - _UNIT, 0)
         cell[:, 0] = np.maximum(cell[:, 0], step[:, 0])
         np.maximum(cell[:, 1:], above[:, :-1] + step[:, 1:], out=cell[:, 1:])
         cell = np.maximum.accumulate(cell + cost, axis=1) - cost
+        cell[cell < _UNIT] = 0
         best = np.maximum(best, cell.max(axis=1))
         above = cell
-    return best
-
-
-def aligned(a: list[int], b: list[int]) -> tuple[int, int]:
-    """(score, equal words) of the best local alignment; of several with one score that with the most equal words."""
-    above = [(0, 0)] * (len(b) + 1)
-    best = (0, 0)
-    for x in a:
-        row = [(0, 0)]
-        for j, y in enumerate(b):
-            s, m = above[j]
-            cell = max((0, 0), (s + 1, m + 1) if x == y else (s - 1, m), (above[j + 1][0] - 1, above[j + 1][1]), (row[j][0] - 1, row[j][1]))
-            if cell[0] <= 0:
-                cell = (0, 0)
-            best = max(best, cell)
-            row.append(cell)
-        above = row
-    return best
-
-
-def leaks_of(index: ItemIndex, texts: list[str]) -> list[tuple[int, int, int, int]]:
+    return best // _UNIT, best % _UNIT
+
+
+def leaks_of(index: ItemIndex, texts: list[str]) -> list[tuple]:
     """(text number, item id, score, equal words) of every leak in the texts."""
-    known = index.vocabulary
+    if not index.texts:
+        return []
+    known, pad = index.vocabulary, SEEDS[-1]
     split = [[known.get(w, -1) for w in words(t)] for t in texts]
-    starts = np.cumsum([0, *[len(s) + SEED for s in split]])
+    starts = np.cumsum([0, *[len(s) + pad for s in split]])
     tokens = np.full(int(starts[-1]), -1, dtype=np.int64)
     for s, at in zip(split, starts.tolist()):
         tokens[at : at + len(s)] = s
     doc = np.repeat(np.arange(len(texts)), np.diff(starts))
-    found = candidates(index, tokens, doc)
+    length = np.array([len(t) for t in index.texts])
+    agree, least, hits = needed(length)
+    found = candidates(index, tokens, doc, hits)
     if not len(found):
         return []
     # The stretch of the document: as long as the item on both sides of the seed, and some more for what was added.
-    length = np.array([len(t) for t in index.texts])
-    low = np.maximum(found[:, 2] - found[:, 3] - length[found[:, 1]] // 2 - BAND, starts[found[:, 0]])
-    high = np.minimum(found[:, 2] + (length[found[:, 1]] - found[:, 3]) + length[found[:, 1]] // 2 + BAND, starts[found[:, 0] + 1] - SEED)
+    own = length[found[:, 1]]
+    low = np.maximum(found[:, 2] - found[:, 3] - own // 2 - BAND, starts[found[:, 0]])
+    high = np.minimum(found[:, 2] + (own - found[:, 3]) + own // 2 + BAND, starts[found[:, 0] + 1] - pad)
     out: dict[tuple[int, int], tuple[int, int]] = {}
-    order = np.argsort(length[found[:, 1]], kind="stable")
+    order = np.argsort(own, kind="stable")
     for s in range(0, len(order), 256):
         rows = order[s : s + 256]
         # Rows of like length together; very long items go in smaller lots.
-        width = int((high - low)[rows].max())
-        lot = max(1, 4_000_000 // max(1, width))
+        lot = max(1, 1_000_000 // max(1, int((high - low)[rows].max())))
         for r in (rows[k : k + lot] for k in range(0, len(rows), lot)):
-            a = np.full((len(r), int(length[found[r, 1]].max())), -3, dtype=np.int64)
+            a = np.full((len(r), int(own[r].max())), -3, dtype=np.int64)
             b = np.full((len(r), int((high - low)[r].max())), -2, dtype=np.int64)
             for k, i in enumerate(r.tolist()):
                 t = index.texts[found[i, 1]]
                 a[k, : len(t)] = t
                 b[k, : high[i] - low[i]] = tokens[low[i] : high[i]]
-            for k in np.flatnonzero(alignment_scores(a, b) >= SCORE).tolist():
-                i = int(r[k])
-                key = (int(found[i, 0]), int(found[i, 1]))
-                if key in out:  # of several stretches the first that is a leak counts
-                    continue
-                score, equal = aligned(index.texts[key[1]].tolist(), tokens[low[i] : high[i]].tolist())
-                if equal >= AGREE:
-                    out[key] = (score, equal)
+            score, equal = alignments(a, b)
+            for k in np.flatnonzero((score >= least[found[r, 1]]) & (equal >= agree[found[r, 1]])).tolist():
+                key = (int(found[r[k], 0]), int(found[r[k], 1]))
+                out[key] = max(out.get(key, (0, 0)), (int(score[k]), int(equal[k])))
     return [(d, index.ids[i], s, e) for (d, i), (s, e) in sorted(out.items())]
 
 
+def _split(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(i, x, y, w): the items with at least LEAST words, and two hashes that stand for the words."""
+    kind = items.schema[item_id].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array([words(t.decode(errors="replace")) for t in b.column("t").to_pylist()], pa.list_(pa.string()))], names=["i", "w"])
+
+    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).cast("binary").alias("t")).where(F.col("i").isNotNull() & (F.length("t") > 0))
+    rows = rows.mapInArrow(split, f"i {kind}, w array<string>").where(F.size("w") >= LEAST)
+    return rows.select("i", F.xxhash64("w").alias("x"), F.xxhash64(F.lit(1), "w").alias("y"), "w")
+
+
+def _indexed(texts: DataFrame) -> DataFrame:
+    """(x, y, w, many): each different text once, with the places of each length whose seed more than RARE texts hold."""
+    texts = texts.groupBy("x", "y").agg(F.first("w").alias("w"))
+    size = F.size("w")
+    grams = None
+    for n in SEEDS[:-1]:
+        runs = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda p: F.xxhash64(F.slice("w", p, n)))  # noqa: B023
+        own = texts.where(size >= n).select("x", "y", F.lit(n).alias("n"), F.posexplode(runs).alias("p", "h"))
+        grams = own if grams is None else grams.unionByName(own)
+    held = grams.groupBy("n", "h", "x", "y").agg(F.lit(1).alias("one")).groupBy("n", "h").agg(F.count("*").alias("texts"))
+    many = grams.join(held.where(F.col("texts") > RARE), ["n", "h"], "left_semi").groupBy("x", "y").agg(F.collect_list(F.struct("n", "p")).alias("many"))
+    return texts.join(many, ["x", "y"], "left")
+
+
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, index_words: int = INDEX_WORDS) -> DataFrame:
     """(doc_id, item_id, score, words): documents that hold an item's text or a passage of about 20 of its words or more.
 
     Words are compared as words.words gives them, so markup, escapes, accents, case
     and invisible characters don't matter. score is that of the best local
-    alignment of the first stretch that is a leak, words how many of its words agree.
+    alignment that was found, words how many of its words agree.
 
     Null, empty and wordless texts on either side match nothing; equal items are
-    all reported; one row per document and item however often it occurs; items of
-    fewer than 17 words can't be told from a shared phrase and are never
-    reported; an empty table gives no rows; other columns are not read. The items'
-    words are counted first: up to index_words of them are sent to the executors as
-    one index, more as several, by a hash of the item's id.
+    all reported; one row per document and item however often it occurs; an item of
+    fewer than 20 words counts if seven eighths of it are there, one of fewer than 8
+    can't be told from a phrase and is never reported; an empty table gives no rows;
+    other columns are not read. How many items hold a seed is counted over all items.
+    Up to index_words words of them are sent to the executors as one index, more as
+    several by a hash of the text, each of which reads the documents again; which
+    leaks are found doesn't depend on their number.
     """
-    items = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull() & (F.length("t") > 0))
-    size = items.select(F.sum(F.length("t")).alias("n")).first().n or 0
-    shards = max(1, -(-int(size) // (2 * index_words)))  # a word has at least one letter and a space
+    members = stored(_split(items, item_id, item_text), "eval-words")
+    texts = stored(_indexed(members), "eval-index")
+    total = texts.agg(F.sum(F.size("w")).alias("n")).first().n or 0
+    shards = max(1, -(-int(total) // index_words))
     spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("binary").alias("t")).where(F.length("t") > 0)
     found = None
     for shard in range(shards):
-        own = items if shards == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard)
-        sent = spark.sparkContext.broadcast(build_index([(r.i, r.t) for r in own.toLocalIterator()]))
-        part = rows.mapInArrow(_reader(sent), f"d {kind}, i long, score long, n long")
+        own = texts if shards == 1 else texts.where(F.pmod(F.col("x"), F.lit(shards)) == shard)
+        # One shard's words pass the driver at a time; the index itself is kept by the block manager.
+        sent = spark.sparkContext.broadcast(build_index(((r.x, r.y), r.w, _by_length(r.many)) for r in own.toLocalIterator()))
+        part = rows.mapInArrow(_reader(sent), f"d {kind}, x long, y long, score long, n long")
         found = part if found is None else found.unionByName(part)
+    found = found.join(members.select("x", "y", "i"), ["x", "y"])
     return found.select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "score", F.col("n").alias("words"))
 
 
+def _by_length(many: list | None) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for m in many or []:
+        out.setdefault(m.n, []).append(m.p)
+    return out
+
+
 def _reader(sent):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -240,6 +283,7 @@ def _reader(sent):
                 found = leaks_of(index, [t.decode(errors="replace") for t in part.column("t").to_pylist()])
                 if found:
                     d, i, score, equal = zip(*found)
-                    yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(d)), pa.array(i, pa.int64()), pa.array(score, pa.int64()), pa.array(equal, pa.int64())], names=["d", "i", "score", "n"])
+                    x, y = zip(*i)
+                    yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(d)), *[pa.array(c, pa.int64()) for c in (x, y, score, equal)]], names=["d", "x", "y", "score", "n"])
 
     return read

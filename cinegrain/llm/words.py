@@ -21,7 +21,9 @@ _PAIR = re.compile("[\ud800-\udbff][\udc00-\udfff]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
 _TIME = re.compile(r"\[\d{1,2}(?::\d{2}){1,2}\]")
 _CONTROL = re.compile(r"\\[nrt\"/]")
-_WORD = re.compile(r"[^\W_]+")
+#: Scripts written without spaces (Thai to Khmer, kana, Han), of which each character is a word.
+UNSPACED = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 _LATIN = re.compile(r"[a-z]")
 _FOREIGN = re.compile(r"[\u0370-\u03ff\u0400-\u04ff]")
 
@@ -45,7 +47,7 @@ def plain(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    """The words: runs of letters and digits of the plain text. In a word of Latin and other letters the lookalikes are Latin."""
+    """The words: runs of letters and digits of the plain text, in scripts without spaces each character. In a word of Latin and other letters the lookalikes are Latin."""
     out = _WORD.findall(plain(text))
     if not text.isascii():
         out = [w.translate(LOOKALIKES) if _FOREIGN.search(w) and (_LATIN.search(w) or len(w) <= 2) else w for w in out]

@@ -212,3 +212,25 @@ def test_repeated_pages_of_any_length(spark):
     texts = [page] * 3 + [prose] * 3 + [page.replace("503", "502").replace("gate", "well")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in shells.find_shells(df, "doc_id", "text").collect()} == {0, 1, 2}
+
+
+def test_variants_short_items_and_unspaced_scripts_leak(spark):
+    vocabulary = [a + b for a in "bcdfgklm" for b in ("an", "ir", "ot", "ut", "es", "al")]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    one = text(60)
+    variants = [(100 + k, " ".join([*one[: 9 * k], "zz", *one[9 * k + 1 :]])) for k in range(6)] + [(200 + k, " ".join(one)) for k in range(12)]
+    many = [(300 + k, " ".join([*one[:30], *text(30)])) for k in range(12)]  # the first half is common to more than RARE items
+    short, han = text(15), "山川草木天地人和春夏秋冬東西南北上下左右"
+    items = variants + many + [(1, " ".join(short)), (2, han), (3, "too short to tell"), *[(10 + k, " ".join(text(50))) for k in range(40)]]
+    docs = [(0, " ".join(text(20) + one + text(20))), (1, " ".join(text(9) + short + text(9))), (2, "前文" + han + "後文"), (3, "this is too short to tell from a phrase")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, k) for k, _ in variants + many} | {(1, 1), (2, 2)}
+    for limit in (leaks.INDEX_WORDS, 700):
+        assert {(r[0], r[1]) for r in leaks.find_leaks(d, "doc_id", "text", i, "item_id", "text", limit).collect()} == want
+
+
+def test_alignments_of_long_rows():
+    a = np.array([rng.randrange(50) for _ in range(40)])
+    b = np.concatenate([np.full(33_000, -2), a])
+    assert [int(x[0]) for x in leaks.alignments(a[None], b[None])] == [40, 40]
