@@ -3,9 +3,9 @@
 A seed is the shortest run of 3, 5 or 7 words from a place of an item that few
 items hold; how many hold it is counted once over all items. Where even the
 longest is held by many, it is a seed all the same, so variants of one item lose
-no place. A longer seed weighs as much as the three-word seeds it covers. Where
-seeds of one item lie close together in a document, in the item's order, the two
-stretches are aligned word by word (Smith-Waterman, linear gaps). The alignment
+no place. Where seeds of one item that lie close together in a document, in the
+item's order, cover enough of its words, the two stretches are aligned word by word
+(Smith-Waterman, linear gaps). The alignment
 counts altered, added and dropped words against the shared ones, so a copy with one
 word in eight changed passes and any number of short shared phrases doesn't.
 
@@ -30,8 +30,9 @@ from .words import words
 #: Words of a seed, shortest first, and the different items that may hold one before it grows (the longest may be held by any number).
 SEEDS = (3, 5, 7)
 RARE = 8
-#: Weight of the seeds within a window that make a candidate; places of one diagonal band.
-HITS, WINDOW, BAND = 4, 20, 16
+#: Words of an item within a window of it that seeds must cover, so that it is a candidate; places of one diagonal band.
+#: 17 equal words of 20 are at worst runs of 2, 2, 2 and 11 words; less, as where many items share a stretch its seeds are longer.
+COVER, WINDOW, BAND = 8, 20, 16
 #: A leak: words of the alignment that agree, and its score (agreeing words less altered, added and dropped ones).
 AGREE, SCORE = 17, 14
 #: Words of a passage; a shorter item must be there as a whole, and one under the least can't be told from a phrase.
@@ -41,12 +42,12 @@ INDEX_WORDS = 4_000_000
 
 
 def needed(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(equal words, score, weight of seeds) that an item of so many words must reach."""
+    """(equal words, score, words covered by seeds) that an item of so many words must reach."""
     short = length < PASSAGE
     agree = np.where(short, np.ceil(length * 7 / 8), AGREE)
     score = np.where(short, np.ceil(length * SCORE / PASSAGE), SCORE)
-    hits = np.clip(length - 2 - 3 * (length // 8), 1, HITS)
-    return agree.astype(np.int64), score.astype(np.int64), hits.astype(np.int64)
+    cover = np.clip(length - 3 * np.ceil(length / 8), SEEDS[0], COVER)
+    return agree.astype(np.int64), score.astype(np.int64), cover.astype(np.int64)
 
 
 def _rolled(tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +104,7 @@ def build_index(items: Iterable[tuple]) -> ItemIndex:
     return ItemIndex(vocabulary, texts, ids, places)
 
 
-def candidates(index: ItemIndex, tokens: np.ndarray, doc: np.ndarray, hits: np.ndarray) -> np.ndarray:
+def candidates(index: ItemIndex, tokens: np.ndarray, doc: np.ndarray, cover: np.ndarray) -> np.ndarray:
     """Rows (document, item, place in the document, place in the item): one for each band of the diagonal in which seeds crowd.
 
     tokens: the words of several documents, each followed by as many -1 as the longest seed has words; doc: whose they are.
@@ -116,55 +117,55 @@ def candidates(index: ItemIndex, tokens: np.ndarray, doc: np.ndarray, hits: np.n
         count = first[place[q] + 1] - first[place[q]]
         j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[place[q]], count)
         q = np.repeat(q, count)
-        parts.append((doc[q], items[j], places[j], q, np.full(len(q), n - SEEDS[0] + 1)))
+        parts.append((doc[q], items[j], places[j], q, np.full(len(q), n)))
     none = np.empty((0, 4), dtype=np.int64)
     if not parts:
         return none
-    d, item, p, q, weight = (np.concatenate(c) for c in zip(*parts))
+    d, item, p, q, size = (np.concatenate(c) for c in zip(*parts))
     if not len(d):
         return none
     out = []
     for shift in (0, BAND // 2):  # two overlapping sets of bands
         band = (q - p + shift) // BAND
-        order = np.lexsort((q, -weight, p, band, item, d))
-        d_, i_, b_, p_, q_, w_ = (c[order] for c in (d, item, band, p, q, weight))
+        order = np.lexsort((q, -size, p, band, item, d))
+        d_, i_, b_, p_, q_, w_ = (c[order] for c in (d, item, band, p, q, size))
         new = np.ones(len(d_), dtype=bool)
         new[1:] = (d_[1:] != d_[:-1]) | (i_[1:] != i_[:-1]) | (b_[1:] != b_[:-1])
         group = np.cumsum(new)
-        once = new.copy()
-        once[1:] |= p_[1:] != p_[:-1]  # a place of the item counts once
-        group, d_, i_, p_, q_, w_ = (c[once] for c in (group, d_, i_, p_, q_, w_))
-        line = group * (int(p_.max()) + WINDOW + 1) + p_
-        total = np.append(0, np.cumsum(w_))
+        line = group * (int(p_.max()) + WINDOW + SEEDS[-1] + 1) + p_
+        # Words that a seed adds to those that the seeds before it in its group cover.
+        reach = np.maximum.accumulate(np.append(0, line + w_))
+        added = np.clip(line + w_ - np.maximum(reach[:-1], line), 0, None)
+        total = np.append(0, np.cumsum(added))
         begin = np.maximum(np.searchsorted(line, line - WINDOW + 1), np.searchsorted(group, group))
-        c = np.flatnonzero(total[1:] - total[begin] >= hits[i_])
+        c = np.flatnonzero(total[1:] - total[begin] + w_[begin] - added[begin] >= cover[i_])
         c = c[np.append(True, group[c][1:] != group[c][:-1])] if len(c) else c
         out.append(np.stack([d_[c], i_[c], q_[c], p_[c]], axis=1))
     return np.concatenate(out)
 
 
-_UNIT = 1 << 20
-
-
 def alignments(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(score, equal words) of the best local alignment of each row of a with the row of b: +1 for an equal word, -1 for any change.
 
     Of several alignments of one score that with the most equal words. A cell is
-    score * 2**20 + equal words. A row of cells at a time: gaps along the row are a
+    score * unit + equal words. A row of cells at a time: gaps along the row are a
     running maximum of the cells with the gap's cost added back.
     """
-    cost = np.arange(b.shape[1], dtype=np.int64) * _UNIT
-    above, best = np.zeros(b.shape, dtype=np.int64), np.zeros(len(a), dtype=np.int64)
+    small = max(a.shape[1], b.shape[1]) < 1 << 15
+    kind, unit = (np.int32, 1 << 15) if small else (np.int64, 1 << 24)
+    cost = np.arange(b.shape[1], dtype=kind) * kind(unit)
+    above, best = np.zeros(b.shape, dtype=kind), np.zeros(len(a), dtype=kind)
     for i in range(a.shape[1]):
-        step = np.where(b == a[:, i : i + 1], _UNIT + 1, -_UNIT)
-        cell = np.maximum(above - _UNIT, 0)
-        cell[:, 0] = np.maximum(cell[:, 0], step[:, 0])
-        np.maximum(cell[:, 1:], above[:, :-1] + step[:, 1:], out=cell[:, 1:])
-        cell = np.maximum.accumulate(cell + cost, axis=1) - cost
-        cell[cell < _UNIT] = 0
+        step = np.where(b == a[:, i : i + 1], kind(unit + 1), kind(-unit))
+        step[:, 1:] += above[:, :-1]
+        cell = np.maximum(above - kind(unit), step)
+        cell += cost
+        np.maximum.accumulate(cell, axis=1, out=cell)
+        cell -= cost
+        cell[cell < unit] = 0
         best = np.maximum(best, cell.max(axis=1))
         above = cell
-    return best // _UNIT, best % _UNIT
+    return best // unit, best % unit
 
 
 def leaks_of(index: ItemIndex, texts: list[str]) -> list[tuple]:
@@ -179,8 +180,8 @@ def leaks_of(index: ItemIndex, texts: list[str]) -> list[tuple]:
         tokens[at : at + len(s)] = s
     doc = np.repeat(np.arange(len(texts)), np.diff(starts))
     length = np.array([len(t) for t in index.texts])
-    agree, least, hits = needed(length)
-    found = candidates(index, tokens, doc, hits)
+    agree, least, cover = needed(length)
+    found = candidates(index, tokens, doc, cover)
     if not len(found):
         return []
     # The stretch of the document: as long as the item on both sides of the seed, and some more for what was added.
@@ -194,8 +195,8 @@ def leaks_of(index: ItemIndex, texts: list[str]) -> list[tuple]:
         # Rows of like length together; very long items go in smaller lots.
         lot = max(1, 1_000_000 // max(1, int((high - low)[rows].max())))
         for r in (rows[k : k + lot] for k in range(0, len(rows), lot)):
-            a = np.full((len(r), int(own[r].max())), -3, dtype=np.int64)
-            b = np.full((len(r), int((high - low)[r].max())), -2, dtype=np.int64)
+            a = np.full((len(r), int(own[r].max())), -3, dtype=np.int32)
+            b = np.full((len(r), int((high - low)[r].max())), -2, dtype=np.int32)
             for k, i in enumerate(r.tolist()):
                 t = index.texts[found[i, 1]]
                 a[k, : len(t)] = t
