@@ -1,22 +1,25 @@
 """Problem 5: groups of mutually similar vectors, by bisecting k-means.
 
-The tree is grown over all rows, level by level: every node that is too large and
-not compact is split in two by k-means (a start along its widest axis, then Lloyd
-steps), those with the largest dispersion first; each step is one pass over the rows
-that sums per node and side in every task before the shuffle. The leaves are the
-cells in which similar vectors meet.
-
-A split may cut through a group. Rows within a margin of the plane between two
-centres therefore also visit the other side, and go on there with twice the margin.
-Of two similar rows the one nearer to the plane that parts them is at most half their
-distance from it, and no plane after that is further than their distance, so it ends
-in the other's own leaf. In every leaf each row learns the
-number, the smallest id and a fingerprint of the rows that are similar to it. Rows
-with the same neighbours as each other, as many as there are, are a group whose
-members are all similar and that nobody outside reaches.
-
-Rows near a leaf's centre, within half of the allowed angle, are all similar to each other without being compared, so
-a group that holds a third of all rows is linear work.
+Every node that isn't compact is split in two by k-means (a start along its widest
+axis, then Lloyd steps) until the compactness limit holds: each two rows of a leaf
+are similar. Nodes of many rows are split across the cluster, level by level, those
+with the largest dispersion first: each step is one pass over the rows that sums per
+node and side in every task before the shuffle. Once a node fits a task, its rows meet there
+and the splitting goes on inside, all nodes of a level at once, down to the compact
+leaves. The leaves are the candidates for groups.
+
+A split may cut through a group, so the leaves' borders are tested exactly. Rows
+within a margin of the plane between two centres also visit the other side, and go on
+there with twice the margin. Of two similar rows the one nearer to the plane that
+parts them is at most half their distance from it, and no plane after that is further
+than their distance, so it ends in the other's own node. There each row
+learns the number, the smallest id and a fingerprint of the rows that are similar to
+it. A leaf whose rows know each other and nobody else is a group; of the leaves that
+a plane cut from each other, rows with the same neighbours, as many as there are, are one.
+
+Rows near the centre of a compact node, within half of the allowed angle, are all
+similar to each other without being compared, so a group that holds a third of all
+rows is linear work.
 """
 
 from __future__ import annotations
@@ -33,10 +36,9 @@ from pyspark.sql import functions as F
 from ..shared import stored
 from .tables import DIMENSIONS, unit, usable_rows
 
-#: Rows of a leaf that is not compact, rows stored in one block of it, nodes of the tree, Lloyd steps.
+#: Rows of a node that isn't compact up to which one task goes on splitting it, rows stored in one block of a compact one, Lloyd steps.
 LEAF = 4096
 BLOCK = 8192
-NODES = 65_536
 STEPS = 2
 
 
@@ -50,6 +52,18 @@ class Tree:
         self.count = np.zeros(1, dtype=np.int64)
         self.mean = np.zeros((1, DIMENSIONS))
 
+    def grow(self, nodes: list[int], cuts: list[tuple], sides: list[tuple]) -> int:
+        """Two children for each of the nodes, cut by (plane, offset); sides: (n, sum) of the children. The first child's number."""
+        first, more = len(self.offset), 2 * len(nodes)
+        if nodes:
+            self.plane[nodes], self.offset[nodes] = np.array([c[0] for c in cuts]), [c[1] for c in cuts]
+            self.child[nodes] = first + np.arange(more).reshape(-1, 2)
+            self.plane, self.offset = np.vstack([self.plane, np.zeros((more, DIMENSIONS))]), np.append(self.offset, np.zeros(more))
+            self.child = np.vstack([self.child, np.full((more, 2), -1)])
+            self.count = np.append(self.count, [n for n, _ in sides])
+            self.mean = np.vstack([self.mean, [s / n for n, s in sides]])
+        return first
+
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), dtype=np.int64)
         todo = np.arange(len(x))
@@ -151,12 +165,12 @@ def summed(parts: DataFrame, width: int) -> DataFrame:
     return parts.repartition("key").mapInArrow(add, "key long, n long, s array<double>")
 
 
-def bisect(rows: DataFrame, least: float, leaf: int = LEAF, nodes: int = NODES, steps: int = STEPS) -> Tree:
-    """The tree over all rows' unit vectors (column v). Only planes and sums come to the driver: 40 numbers per node.
+def bisect(rows: DataFrame, least: float, leaf: int = LEAF, steps: int = STEPS) -> Tree:
+    """The upper tree over all rows' unit vectors (column v). Only planes and sums come to the driver: some 40 numbers for each `leaf` rows.
 
     A node is split while it has more than `leaf` rows and isn't compact: its mean
-    is shorter than the cosine of half the angle that `least` allows. With more
-    than `nodes` nodes the splitting ends, largest dispersion first.
+    is shorter than the cosine of half the angle that `least` allows. What is left
+    of nodes that aren't compact is split inside the tasks (see compact_leaves).
     """
     tree, compact = Tree(), math.cos(math.acos(least) / 2)
     start = _node_sums(rows, tree, {0: (np.zeros(DIMENSIONS), 0.0)})
@@ -169,7 +183,7 @@ def bisect(rows: DataFrame, least: float, leaf: int = LEAF, nodes: int = NODES,
     while active:
         wide = lambda i: stats[i][0] - stats[i][1] @ stats[i][1] / stats[i][0]  # noqa: B023, E731
         active = [i for i in active if stats[i][0] > leaf and np.linalg.norm(tree.mean[i]) < compact]
-        active = sorted(active, key=wide, reverse=True)[: max(0, (nodes - len(tree.offset)) // 2)]
+        active = sorted(active, key=wide, reverse=True)
         if not active:
             break
         cut = {}
@@ -194,24 +208,62 @@ def bisect(rows: DataFrame, least: float, leaf: int = LEAF, nodes: int = NODES,
             if not cut:
                 break
         sides = _node_sums(rows, tree, cut) if cut else {}
-        fresh = []
-        for i, (plane, offset) in cut.items():
-            if (i, 0) not in sides or (i, 1) not in sides:
-                continue
-            tree.plane[i], tree.offset[i] = plane, offset
-            for k in (0, 1):
-                n, s, q = sides[i, k]
-                new = len(tree.offset)
-                tree.plane, tree.offset = np.vstack([tree.plane, np.zeros(DIMENSIONS)]), np.append(tree.offset, 0.0)
-                tree.child, tree.count = np.vstack([tree.child, [-1, -1]]), np.append(tree.count, n)
-                tree.mean = np.vstack([tree.mean, s / n])
-                tree.child[i, k] = new
-                stats[new] = (n, s, q)
-                fresh.append(new)
-        active = fresh
+        fresh = [i for i in cut if (i, 0) in sides and (i, 1) in sides]
+        first = tree.grow(fresh, [cut[i] for i in fresh], [sides[i, k][:2] for i in fresh for k in (0, 1)])
+        stats = {first + 2 * j + k: sides[i, k] for j, i in enumerate(fresh) for k in (0, 1)}
+        active = list(stats)
     return tree
 
 
+def compact_leaves(x: np.ndarray, least: float, steps: int = STEPS) -> np.ndarray:
+    """The leaf of each row: the rows (unit vectors) split on until each two rows of a leaf have a cosine of at least `least`.
+
+    All nodes of a level are split at once. A node is compact if its rows lie within
+    half the allowed angle of its centre, or else if its least cosine says so.
+    """
+    leaf = np.zeros(len(x), dtype=np.int64)
+    near, todo, last = math.cos(math.acos(least) / 2) + 1e-9, np.arange(len(x)), 0
+    while len(todo):
+        node = np.unique(leaf[todo], return_inverse=True)[1].ravel()
+        order = np.argsort(node, kind="stable")
+        todo, node = todo[order], node[order]
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        n = np.diff(np.append(first, len(node)))
+        y = x[todo]
+        mean = np.add.reduceat(y, first) / n[:, None]
+        long = np.sqrt(np.einsum("ij,ij->i", mean, mean))
+        to_centre = np.einsum("ij,ij->i", y, mean[node]) / np.maximum(long[node], 1e-300)
+        compact = (n == 1) | (np.minimum.reduceat(to_centre, first) >= near)
+        # The squared length of the mean is the mean cosine of all pairs: if that is too small, some pair's is.
+        for i in np.flatnonzero(~compact & (long * long >= least)):
+            own = y[first[i] : first[i] + n[i]]
+            compact[i] = all((own[s : s + 1024] @ own.T).min() >= least for s in range(0, n[i], 1024))
+        go = ~compact[node]
+        todo, y = todo[go], y[go]
+        if not len(todo):
+            break
+        node = np.unique(node[go], return_inverse=True)[1].ravel()
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        n, mean = np.diff(np.append(first, len(node))), mean[~compact]
+        axis = np.argmax(np.add.reduceat(y * y, first) / n[:, None] - mean**2, axis=1)
+        side = y[np.arange(len(y)), axis[node]] > mean[np.arange(len(n)), axis][node]
+        for _ in range(steps):
+            a = np.add.reduceat(y * side[:, None], first)
+            na = np.add.reduceat(side.astype(np.int64), first)
+            b, nb = mean * n[:, None] - a, n - na
+            ca, cb = a / np.maximum(na, 1)[:, None], b / np.maximum(nb, 1)[:, None]
+            plane = ca - cb
+            again = np.einsum("ij,ij->i", y, plane[node]) > (np.einsum("ij,ij->i", plane, ca + cb) / 2)[node]
+            kept = np.add.reduceat(again.astype(np.int64), first)
+            side = np.where(((kept > 0) & (kept < n))[node], again, side)
+        na = np.add.reduceat(side.astype(np.int64), first)
+        # Rows that no plane tells apart are halved by their order.
+        side = np.where(((na > 0) & (na < n))[node], side, (np.arange(len(y)) - first[node]) * 2 < n[node])
+        leaf[todo] = last + 1 + 2 * node + side
+        last += 2 * len(n)
+    return np.unique(leaf, return_inverse=True)[1].ravel()
+
+
 def _mix(ids: np.ndarray) -> np.ndarray:
     """64-bit hashes of ids (the finaliser of a public mixing function), for fingerprints by exclusive or."""
     h = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
@@ -248,24 +300,30 @@ def _spread(tree: Tree, margin: float, least: float, block: int):
     return spread
 
 
-def _neighbours(tree: Tree, margin: float, least: float):
-    """Of each block: what the asking rows find among the stored ones, themselves included."""
+def _neighbours(tree: Tree, margin: float, least: float, blocks: int):
+    """Of each block: what the asking rows find among the stored ones, themselves included, and the leaf of each stored row.
+
+    blocks: rows of a node from which it has several blocks; such a node is compact and a leaf as it is.
+    """
 
     def found(ids: np.ndarray, others: np.ndarray, q: np.ndarray, h: np.ndarray) -> list:
         """(id, n, smallest, print) of the pairs q, h; q sorted."""
         first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
         hit = others[h]
-        return [ids[q[first]], np.diff(np.append(first, len(q))), np.minimum.reduceat(hit, first), np.bitwise_xor.reduceat(_mix(hit), first)]
+        return [ids[q[first]], np.diff(np.append(first, len(q))), np.minimum.reduceat(hit, first), np.bitwise_xor.reduceat(_mix(hit), first), np.full(len(first), -1)]
 
     def block(t: pa.Table) -> list:
         role, ids = t.column("role").to_numpy(), t.column("id").to_numpy()
         kept, asking = np.flatnonzero(role < 2), np.flatnonzero(role > 0)
-        if not len(kept) or not len(asking):
+        if not len(kept):
             return []
         own_leaf = t.column("own").combine_chunks().to_numpy(zero_copy_only=False)
         x = unit(usable_rows(t.column("v").combine_chunks())[1])
         x32 = x.astype(np.float32)
-        out, step = [], max(1, 4_000_000 // len(kept))
+        top = int(t.column("leaf")[0].as_py())
+        cell = compact_leaves(x[kept], least) if tree.count[top] <= blocks else np.zeros(len(kept), dtype=np.int64)
+        none = np.zeros(len(kept), dtype=np.int64)
+        out, step = [(ids[kept], none, ids[kept], none, (top << 32) + cell)], max(1, 4_000_000 // len(kept))
         for s in range(0, len(asking), step):
             part = asking[s : s + step]
             near = x32[part] @ x32[kept].T
@@ -296,7 +354,7 @@ def _neighbours(tree: Tree, margin: float, least: float):
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
             parts = block(t)
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=["id", "n", "least", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=["id", "n", "least", "print", "cell"])
 
         for b in batches:
             if not b.num_rows:
@@ -326,15 +384,23 @@ def similar_groups(rows: DataFrame, least: float = 0.9, smallest: int = 3, leaf:
     margin = math.sqrt((1 - least) / 2) + 1e-9 if margin is None else margin
     tree = bisect(rows, least, leaf) if tree is None else tree
     placed = rows.select("id", "v").mapInArrow(_spread(tree, margin, least, block), "leaf long, blk int, role int, id long, v array<float>, own boolean")
-    asked = placed.repartition("leaf", "blk").sortWithinPartitions("leaf", "blk").mapInArrow(_neighbours(tree, margin, least), "id long, n long, least long, print long")
+    asked = placed.repartition("leaf", "blk").sortWithinPartitions("leaf", "blk").mapInArrow(_neighbours(tree, margin, least, block), "id long, n long, least long, print long, cell long")
     core = rows.select("id", "v").mapInArrow(_core(tree, least), "id long, leaf long, h long")
     cores = core.groupBy("leaf").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.bit_xor("h").alias("print"))
-    heard = core.select("id", "leaf").join(cores, "leaf").select("id", "n", "least", "print")
-    each = asked.unionByName(heard).groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.bit_xor("print").alias("print"))
-    each = stored(each.where(F.col("n") >= smallest), "neighbours")
+    heard = core.select("id", "leaf").join(cores, "leaf").select("id", "n", "least", "print", F.lit(-1).cast("bigint").alias("cell"))
+    each = asked.unionByName(heard).groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.bit_xor("print").alias("print"), F.max("cell").alias("cell"))
+    each = stored(each, "neighbours")
+    # A leaf is a group if all its rows have the same neighbours, as many as the leaf has rows.
     key = ["least", "n", "print"]
-    whole = each.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") == F.col("n")).select(*key)
-    return each.join(whole, key, "left_semi").select(F.col("least").alias("cluster_id"), "id")
+    same = [F.min(c) == F.max(c) for c in key]
+    leaves = each.groupBy("cell").agg(F.count("*").alias("size"), F.min("n").alias("n"), (same[0] & same[1] & same[2]).alias("same"))
+    whole_leaves = leaves.where(F.col("same") & (F.col("size") == F.col("n"))).select("cell", "size")
+    from_leaves = each.join(whole_leaves.where(F.col("size") >= smallest), "cell", "left_semi")
+    # The leaves that a plane cut from others: their rows are a group if they are all that have these neighbours.
+    cut = each.where(F.col("n") >= smallest).join(whole_leaves, "cell", "left_anti")
+    whole = cut.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") == F.col("n")).select(*key)
+    found = from_leaves.select("least", "id").unionByName(cut.join(whole, key, "left_semi").select("least", "id"))
+    return found.select(F.col("least").alias("cluster_id"), "id")
 
 
 def _core(tree: Tree, least: float):

@@ -234,3 +234,13 @@ def test_alignments_of_long_rows():
     a = np.array([rng.randrange(50) for _ in range(40)])
     b = np.concatenate([np.full(33_000, -2), a])
     assert [int(x[0]) for x in leaks.alignments(a[None], b[None])] == [40, 40]
+
+
+def test_leaves_are_compact_and_not_cut_for_nothing():
+    x = tables.unit(_vectors())
+    leaf = clusters.compact_leaves(x, 0.9)
+    sizes = np.bincount(leaf)
+    for i in np.flatnonzero(sizes > 1):
+        assert (x[leaf == i] @ x[leaf == i].T).min() >= 0.9
+    assert (sizes > 2).sum() > 20
+    assert len(set(clusters.compact_leaves(np.repeat(x[:1], 50, axis=0), 0.9).tolist())) == 1
