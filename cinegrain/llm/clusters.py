@@ -37,8 +37,8 @@ from ..shared import stored
 from .tables import DIMENSIONS, unit, usable_rows
 
 #: Rows of a node that isn't compact up to which one task goes on splitting it, rows stored in one block of a compact one, Lloyd steps.
-LEAF = 4096
-BLOCK = 8192
+LEAF = 16_384
+BLOCK = 16_384
 STEPS = 2
 
 
@@ -312,61 +312,77 @@ def _neighbours(tree: Tree, margin: float, least: float, blocks: int):
         hit = others[h]
         return [ids[q[first]], np.diff(np.append(first, len(q))), np.minimum.reduceat(hit, first), np.bitwise_xor.reduceat(_mix(hit), first), np.full(len(first), -1)]
 
-    def block(t: pa.Table) -> list:
-        role, ids = t.column("role").to_numpy(), t.column("id").to_numpy()
-        kept, asking = np.flatnonzero(role < 2), np.flatnonzero(role > 0)
-        if not len(kept):
-            return []
-        own_leaf = t.column("own").combine_chunks().to_numpy(zero_copy_only=False)
-        x = unit(usable_rows(t.column("v").combine_chunks())[1])
-        x32 = x.astype(np.float32)
-        top = int(t.column("leaf")[0].as_py())
-        cell = compact_leaves(x[kept], least) if tree.count[top] <= blocks else np.zeros(len(kept), dtype=np.int64)
-        none = np.zeros(len(kept), dtype=np.int64)
-        out, step = [(ids[kept], none, ids[kept], none, (top << 32) + cell)], max(1, 4_000_000 // len(kept))
-        for s in range(0, len(asking), step):
-            part = asking[s : s + step]
-            near = x32[part] @ x32[kept].T
-            q, h = np.nonzero(near >= least - 1e-5)
-            doubt = near[q, h] < least + 1e-5
-            if doubt.any():
-                exact = np.einsum("ij,ij->i", x[part[q[doubt]]], x[kept[h[doubt]]]) >= least - 1e-12
-                sure = np.ones(len(q), dtype=bool)
-                sure[np.flatnonzero(doubt)[~exact]] = False
-                q, h = q[sure], h[sure]
-            if not len(q):
-                continue
-            out.append(found(ids[part], ids[kept], q, h))
-            # A core row doesn't ask: it hears from the leaf's own rows that reach it.
-            # A stored row also hears from a visitor whose leaf it doesn't visit itself.
-            heard = (role[kept[h]] == 0) & own_leaf[part[q]]
-            cross = np.flatnonzero(~own_leaf[part[q]])
-            if len(cross):
-                heard[cross] = ~tree.reaches(x[kept[h[cross]]], tree.leaf_of(x[part[q[cross]]]), margin)
-            if heard.any():
-                order = np.argsort(h[heard], kind="stable")
-                out.append(found(ids[kept], ids[part], h[heard][order], q[heard][order]))
-        return out
+    class Stored:
+        """The stored rows of a block and what is found among them; asking rows come batch by batch."""
+
+        def __init__(self, key: tuple[int, int]):
+            self.key, self.parts, self.ids = key, [], None
+
+        def opened(self) -> list:
+            """Once all stored rows are there: their leaves, and what they find among each other."""
+            if self.ids is not None or not self.parts:
+                return []
+            t = pa.Table.from_batches(self.parts).combine_chunks()
+            self.parts, self.ids = [], t.column("id").to_numpy()
+            self.x = unit(usable_rows(t.column("v"))[1])
+            self.x32, self.core = self.x.astype(np.float32), t.column("role").to_numpy() == 0
+            top, none = self.key[0], np.zeros(len(self.ids), dtype=np.int64)
+            cell = compact_leaves(self.x, least) if tree.count[top] <= blocks else none
+            asking = np.flatnonzero(~self.core)
+            return [(self.ids, none, self.ids, none, (top << 32) + cell), *self.asked(self.ids[asking], self.x[asking], np.ones(len(asking), dtype=bool))]
+
+        def asked(self, ids: np.ndarray, x: np.ndarray, own: np.ndarray) -> list:
+            """What asking rows find; own: whether a row's own leaf this is."""
+            out, step, x32 = [], max(1, 4_000_000 // len(self.ids)), x.astype(np.float32)
+            for s in range(0, len(ids), step):
+                near = x32[s : s + step] @ self.x32.T
+                q, h = np.divmod(np.flatnonzero(near.ravel() >= least - 1e-5), len(self.ids))
+                doubt = near[q, h] < least + 1e-5
+                q += s
+                if doubt.any():
+                    exact = np.einsum("ij,ij->i", x[q[doubt]], self.x[h[doubt]]) >= least - 1e-12
+                    sure = np.ones(len(q), dtype=bool)
+                    sure[np.flatnonzero(doubt)[~exact]] = False
+                    q, h = q[sure], h[sure]
+                if not len(q):
+                    continue
+                out.append(found(ids, self.ids, q, h))
+                # A core row doesn't ask: it hears from the leaf's own rows that reach it.
+                # A stored row also hears from a visitor whose leaf it doesn't visit itself.
+                heard = self.core[h] & own[q]
+                cross = np.flatnonzero(~own[q])
+                if len(cross):
+                    heard[cross] = ~tree.reaches(self.x[h[cross]], tree.leaf_of(x[q[cross]]), margin)
+                if heard.any():
+                    order = np.argsort(h[heard], kind="stable")
+                    out.append(found(self.ids, ids, h[heard][order], q[heard][order]))
+            return out
+
+    def packed(parts: list) -> Iterator[pa.RecordBatch]:
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=["id", "n", "least", "print", "cell"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            parts = block(t)
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=["id", "n", "least", "print", "cell"])
-
+        here: Stored | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
-            leaf, blk = t.column("leaf").to_numpy(), t.column("blk").to_numpy()
-            starts = np.flatnonzero(np.append(True, (leaf[1:] != leaf[:-1]) | (blk[1:] != blk[:-1])))
-            for s, e in zip(starts[:-1], starts[1:]):
-                yield from emit(t.slice(int(s), int(e - s)))
-            held = t.slice(int(starts[-1])).combine_chunks()
-        if held is not None:
-            yield from emit(held)
+            leaf, blk, visits = b.column("leaf").to_numpy(), b.column("blk").to_numpy(), b.column("role").to_numpy() == 2
+            starts = np.flatnonzero(np.append(True, (leaf[1:] != leaf[:-1]) | (blk[1:] != blk[:-1]) | (visits[1:] != visits[:-1])))
+            for s, e in zip(starts, np.append(starts[1:], b.num_rows)):
+                key, part = (int(leaf[s]), int(blk[s])), b.slice(int(s), int(e - s))
+                if here is None or here.key != key:
+                    if here is not None:
+                        yield from packed(here.opened())
+                    here = Stored(key)
+                if not visits[s]:
+                    here.parts.append(part)
+                    continue
+                yield from packed(here.opened())
+                if here.ids is not None:  # else nobody is at home
+                    yield from packed(here.asked(part.column("id").to_numpy(), unit(usable_rows(part.column("v"))[1]), part.column("own").to_numpy(zero_copy_only=False)))
+        if here is not None:
+            yield from packed(here.opened())
 
     return run
 
@@ -384,7 +400,7 @@ def similar_groups(rows: DataFrame, least: float = 0.9, smallest: int = 3, leaf:
     margin = math.sqrt((1 - least) / 2) + 1e-9 if margin is None else margin
     tree = bisect(rows, least, leaf) if tree is None else tree
     placed = rows.select("id", "v").mapInArrow(_spread(tree, margin, least, block), "leaf long, blk int, role int, id long, v array<float>, own boolean")
-    asked = placed.repartition("leaf", "blk").sortWithinPartitions("leaf", "blk").mapInArrow(_neighbours(tree, margin, least, block), "id long, n long, least long, print long, cell long")
+    asked = placed.repartition("leaf", "blk").sortWithinPartitions("leaf", "blk", "role").mapInArrow(_neighbours(tree, margin, least, block), "id long, n long, least long, print long, cell long")
     core = rows.select("id", "v").mapInArrow(_core(tree, least), "id long, leaf long, h long")
     cores = core.groupBy("leaf").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.bit_xor("h").alias("print"))
     heard = core.select("id", "leaf").join(cores, "leaf").select("id", "n", "least", "print", F.lit(-1).cast("bigint").alias("cell"))

@@ -178,7 +178,7 @@ def _meet(least: float, per_owner: int, most: int):
         step = max(1, 4_000_000 // len(at_home))
         for s in range(0, len(x), step):
             near = x32[s : s + step] @ stored_x.T
-            q, h = np.nonzero(near >= least - 1e-5)
+            q, h = np.divmod(np.flatnonzero(near.ravel() >= least - 1e-5), len(at_home))
             if not len(q):
                 continue
             q += s

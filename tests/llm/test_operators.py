@@ -144,8 +144,9 @@ def test_a_group_larger_than_a_leaf_stays_whole(spark):
     x = np.float32(np.vstack([lobes[np.arange(5000) % 3] + g.normal(size=(5000, 40)) * 0.001, g.normal(size=(600, 40))]))
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<float>")
     want = _groups(x)
-    assert len(want) == 5000 > clusters.LEAF
-    assert {tuple(r) for r in clusters.similar_groups(df).collect()} == want
+    assert len(want) == 5000
+    for leaf in (1024, clusters.LEAF):
+        assert {tuple(r) for r in clusters.similar_groups(df, leaf=leaf).collect()} == want
 
 
 def test_a_pair_that_two_planes_part_is_found(spark):
