@@ -245,3 +245,19 @@ def test_leaves_are_compact_and_not_cut_for_nothing():
         assert (x[leaf == i] @ x[leaf == i].T).min() >= 0.9
     assert (sizes > 2).sum() > 20
     assert len(set(clusters.compact_leaves(np.repeat(x[:1], 50, axis=0), 0.9).tolist())) == 1
+
+
+def test_templates_are_induced_from_the_records(spark):
+    filled = [f"Starring {a} Berg and {b} Fox, length {n} min." for a, b, n in (("Anna", "Tom", 3), ("Eve", "Kai", 44), ("Lea", "Jan", 7), ("Mia", "Ole", 5))]
+    left = ["Starring None and Tom Fox, length 9 min.", "Starring  and , length  min.", "Starring person_name and Kai Fox, length 12 min.", "Starring ____ and Lea Dahl, length 3 min."]
+    talk = [f"The undefined shape behind {x} is only a reflection." for x in ("Anna", "Tom", "Eve", "Kai")] + ["The crew walks  home, and the  evening comes.", "Starring in a play is hard."]
+    talk += ["The film is named after a key called {{title}} in the manual."]
+    df = spark.createDataFrame(list(enumerate([*left, *filled, *talk, "The film is called {{title}} and runs long."])), "id long, text string")
+    got = {r.id: r.reasons for r in shells.find_shells(df, "id", "text").collect()}
+    assert got == {**{i: ["default value"] for i in range(3)}, 3: ["default value"], len(left + filled + talk): ["placeholder"]}
+
+
+def test_repeated_status_pages_of_an_unlisted_language(spark):
+    texts = ["404 Stran ni bila najdena\nObrnite se na pomoc."] * 3 + ["404 frames were kept of the long walk along the river and the bridge"] * 3 + ["502 Stran"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert {r.id for r in shells.find_shells(df, "id", "text").collect()} == {0, 1, 2}
