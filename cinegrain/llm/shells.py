@@ -233,19 +233,25 @@ _TOKEN = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"\b[0-9a-f]{6,}\b|\d+")
 
 
+class _Bases(dict):
+    """Letters to their ASCII base, filled as they are met; other characters stay."""
+
+    def __missing__(self, code: int) -> int:
+        base = ord(unicodedata.normalize("NFD", chr(code))[0])
+        self[code] = base if base < 128 else code
+        return self[code]
+
+
+_BASES = _Bases()
+_MIXED = re.compile(r"[^\W_]*(?:[A-Za-z][Ͱ-ӿ]|[Ͱ-ӿ][A-Za-z])[^\W_]*")
+
+
 def fold(text: str) -> str:
-    """No accents on Latin letters, no invisible characters, one kind of space; case is kept."""
+    """No accents on Latin letters, no invisible characters, one kind of space; case is kept. In words that mix Latin and other letters the lookalikes are Latin."""
     if text.isascii():
         return text
-    text = unicodedata.normalize("NFKC", text.translate(INVISIBLE))
-    out = []
-    for c in text:
-        if c > "\x7f":
-            base = unicodedata.normalize("NFD", c)[0]
-            c = base if base <= "\x7f" else c
-        out.append(c)
-    text = "".join(out)
-    return _TOKEN.sub(lambda m: m[0].translate(LOOKALIKES) if re.search("[A-Za-z]", m[0]) and re.search("[Ͱ-ӿ]", m[0]) else m[0], text)
+    text = unicodedata.normalize("NFKC", text.translate(INVISIBLE)).translate(_BASES)
+    return _MIXED.sub(lambda m: m[0].translate(LOOKALIKES), text)
 
 
 def quoted(text: str, start: int, end: int) -> bool:
