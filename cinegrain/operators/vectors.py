@@ -38,20 +38,28 @@ def consecutive(df: DataFrame, entity: list[str], position: str, vector: str) ->
     return df.select(*entity, position, cosine(F.col(vector), before).alias("similarity"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """(id, depth) of all nodes under the roots (column id) by (parent, child) edges, each at its least depth; cycles end by themselves.
+def reach(edges: DataFrame, starts: DataFrame, keys: list[str], depth: int | None = None) -> DataFrame:
+    """Rows of starts (keys and id) with depth 0, and below each key all nodes under its ids by (parent, child) edges, each at its least depth.
 
-    The frontier is joined level by level and what was seen taken out, with a
-    reliable checkpoint at each level, so a graph with many paths is no problem.
+    Level by level the frontier is joined and what was seen taken out, with a reliable checkpoint of
+    the frontier alone at each level: cycles end by themselves and a graph with many paths is no problem.
+    Ends when nothing new comes, or at `depth` levels.
     """
     from ..shared import checkpointed
 
-    seen = checkpointed(roots.select("id").where(F.col("id").isNotNull()).distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for level in range(1, depth + 1):
-        step = edges.join(frontier, edges["parent"] == frontier["id"]).select(F.col("child").alias("id")).distinct()
-        frontier = checkpointed(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)))
+    frontier = checkpointed(starts.select(*keys, "id").where(F.col("id").isNotNull()).distinct().withColumn("depth", F.lit(0)))
+    seen, level = frontier, 0
+    links = edges.select(F.col("parent").alias("id"), "child")
+    while depth is None or level < depth:
+        level += 1
+        step = frontier.join(links, "id").select(*keys, F.col("child").alias("id")).distinct()
+        frontier = checkpointed(step.join(seen, [*keys, "id"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen
+
+
+def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, depth) of all nodes under the roots (column id), the roots included; see reach."""
+    return reach(edges, roots, [], depth)
