@@ -74,6 +74,7 @@ add("vec_novelty", similar.novelty, lib(f"SELECT x.item_id, x.frame, round(({_NV
 add("vec_smart_frames", similar.smart_frames)
 add("vec_representatives_maximin", similar.representative_frames)
 add("vec_representatives_coverage", similar.representative_frames, method="coverage")
+add("vec_modulo_frames", similar.modulo_frames, lib("SELECT item_id, frame FROM fr WHERE frame % (SELECT greatest(1, floor(count(*) / count(DISTINCT item_id) / 16))::BIGINT FROM fr) = 0", FR))
 add("vec_frames_apart", similar.frames_apart)
 add("vec_similarity_matrix", similar.similarity_matrix, lib("SELECT a.frame AS a, b.frame AS b, " + cos("a.v", "b.v") + " AS similarity FROM fr a JOIN fr b ON b.frame <= a.frame WHERE a.item_id = 103 AND b.item_id = 103", FR), item_id=103)
 add("vec_near_duplicate_tags", similar.near_duplicate_tags, lib("SELECT a.tag_id, b.tag_id AS other_id, " + cos("a.v", "b.v") + " AS similarity, CASE WHEN nb.n > na.n THEN b.tag_id ELSE a.tag_id END AS keep_id FROM tv a JOIN tv b ON a.tag_id < b.tag_id JOIN (SELECT tag_id, count(*) AS n FROM item_tags GROUP BY 1) na ON na.tag_id = a.tag_id JOIN (SELECT tag_id, count(*) AS n FROM item_tags GROUP BY 1) nb ON nb.tag_id = b.tag_id JOIN tg x ON x.id = a.tag_id JOIN tg y ON y.id = b.tag_id WHERE " + cos("a.v", "b.v") + " >= 0.9", IV, TV))

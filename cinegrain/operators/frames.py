@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import consecutive, cosine
-
-#: Label vectors that are sent to every task; more labels are joined by blocks instead.
-LABELS = 20_000
+from .vectors import consecutive
 
 
 def segments(df: DataFrame, entity: list[str], position: str, vector: str, boundary: float, least: int = 1) -> DataFrame:
@@ -23,83 +20,22 @@ def segments(df: DataFrame, entity: list[str], position: str, vector: str, bound
     return out.where((F.col("n") >= least) | (F.col("segment") == 1))
 
 
-def novelty(df: DataFrame, entity: list[str], position: str, vector: str, width: int) -> DataFrame:
-    """(1 - mean similarity to the up to width frames on each side) * min(1, their number / (2 * width)); 0 for a frame alone.
+def novelty(df: DataFrame, entity: str, position: str, vector: str, width: int) -> DataFrame:
+    """(1 - mean similarity to the up to width frames on each side) * min(1, their number / (2 * width)); 0 for a frame alone. Null, zero and ill-sized vectors are left out."""
+    import numpy as np
+    import pyarrow as pa
 
-    Vectors have length one. The mean of the dot products is one dot product with
-    the sum of the neighbours, a moving sum per coordinate: no frame is paired with each neighbour.
-    """
-    w = Window.partitionBy(*entity, "_pos").orderBy(position).rowsBetween(-width, width)
-    x = df.select(*entity, position, F.posexplode(vector).alias("_pos", "_x")).withColumn("_x", F.col("_x").cast("double"))
-    x = x.select(*entity, position, (F.col("_x") * (F.sum("_x").over(w) - F.col("_x"))).alias("_d"), (F.count("*").over(w) - 1).alias("_n"))
-    out = x.groupBy(*entity, position).agg(F.sum("_d").alias("_d"), F.max("_n").alias("_n"))
-    value = (1 - F.col("_d") / F.col("_n")) * F.least(F.lit(1.0), F.col("_n") / (2 * width))
-    return out.select(*entity, position, F.when(F.col("_n") > 0, F.round(value, 6)).otherwise(0.0).alias("novelty"))
+    from ..tools.similar import novelty_of
+    from .kernels import per_entity, unit_rows
 
+    kind = df.schema[position].dataType.simpleString()
 
-def against_labels(frames: DataFrame, key: list[str], vector: str, labels: DataFrame, label: str, label_vector: str) -> DataFrame:
-    """key, label, s: the cosine of each frame to each label, to six decimals, for an aggregate that follows; zero, null and ill-sized vectors are left out.
+    def run(_, c):
+        size = max(len(v) for v in c[vector][:1])
+        rows, x = unit_rows(c[vector], size)
+        return [c[position].take(pa.array(rows)), pa.array(np.round(novelty_of(x, (width,), (1.0,)), 6) + 0.0)]
 
-    The labels are counted first; up to LABELS of them are sent to the tasks as one
-    matrix, more as several by a hash, each against all frames. A batch of frames
-    is one product of matrices.
-    """
-    side = labels.select(F.col(label).alias("_label"), F.col(label_vector).alias("_v")).where(F.col("_label").isNotNull() & (F.size("_v") > 0))
-    blocks = max(1, -(-side.count() // LABELS))
-    rows = frames.select(*key, F.col(vector).alias("_x"))
-    kind = labels.schema[label].dataType.simpleString()
-    schema = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in key], f"{label} {kind}", "s double"])
-    out = None
-    for b in range(blocks):
-        part = side if blocks == 1 else side.where(F.pmod(F.xxhash64("_label"), F.lit(blocks)) == b)
-        table = part.toArrow().combine_chunks()
-        scored = rows.mapInArrow(_products(frames.sparkSession.sparkContext.broadcast(table), key, label), schema)
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
-def _products(sent, key: list[str], label: str):
-    import numpy as np
-    import pyarrow as pa
-
-    def unit(lists: pa.Array, width: int) -> tuple:
-        rows = [i for i, v in enumerate(lists.to_pylist()) if v is not None and len(v) == width and None not in v]
-        flat = lists.take(pa.array(rows, pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-        length = np.sqrt((flat * flat).sum(axis=1))
-        good = np.isfinite(length) & (length > 0)
-        return np.array(rows, dtype=np.int64)[good], flat[good] / length[good][:, None]
-
-    def run(batches):
-        table = sent.value
-        if not table.num_rows:
-            return
-        vectors = table.column("_v").combine_chunks()
-        width = len(vectors[0])
-        which, t = unit(vectors, width)
-        names = table.column("_label").combine_chunks().take(pa.array(which))
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                b = batch.slice(start, 512)
-                own, x = unit(b.column("_x"), width)
-                if not len(own) or not len(which):
-                    continue
-                s = np.round(x @ t.T, 6)
-                frame, tag = pa.array(np.repeat(own, len(which))), pa.array(np.tile(np.arange(len(which)), len(own)))
-                yield pa.RecordBatch.from_arrays([*[b.column(k).take(frame) for k in key], names.take(tag), pa.array(s.ravel())], names=[*key, label, "s"])
-
-    return run
-
-
-def best_label(frames: DataFrame, key: list[str], vector: str, labels: DataFrame, label: str, label_vector: str, covered: float) -> DataFrame:
-    """key, label, similarity, covered: the most similar label of each frame, ties by the smaller label."""
-    scored = against_labels(frames, key, vector, labels, label, label_vector)
-    top = scored.groupBy(*key).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col(label).alias("l"))).alias("o"))
-    return top.select(*key, F.col("o.l").alias("label"), (-F.col("o.s")).alias("similarity"), (-F.col("o.s") >= covered).alias("covered"))
-
-
-def coverage(best: DataFrame, entity: str) -> DataFrame:
-    """(entity, frames, covered, share) from best_label."""
-    return best.groupBy(entity).agg(F.count("*").alias("frames"), F.count_if("covered").alias("covered"), F.round(F.count_if("covered") / F.count("*"), 6).alias("share"))
+    return per_entity(df.where(F.size(vector) > 0), entity, [position], [vector], run, f"{position} {kind}, novelty double")
 
 
 def best_per_group(scored: DataFrame, group: str, key: str, score: Column, k: int) -> DataFrame:
@@ -114,46 +50,3 @@ def sessions(df: DataFrame, entity: str, seconds: str, gap: float, score: str) -
     new = F.when(F.col(seconds) - F.lag(seconds).over(w) <= gap, 0).otherwise(1)
     numbered = df.withColumn("_new", new).withColumn("_event", F.sum("_new").over(w))
     return numbered.groupBy(entity, "_event").agg(F.min(seconds).alias("start"), F.max(seconds).alias("end"), F.count("*").alias("n"), F.max(score).alias("peak")).drop("_event")
-
-
-def votes(frames: DataFrame, vector: str, labels: DataFrame, label: str, label_vector: str, least: float, k: int) -> DataFrame:
-    """(label, n, best, mean): how many frames each label reaches with similarity >= least; by n, then best, first k."""
-    hit = against_labels(frames, [], vector, labels, label, label_vector).where(F.col("s") >= least)
-    out = hit.groupBy(label).agg(F.count("*").alias("n"), F.max("s").alias("best"), F.round(F.avg("s"), 6).alias("mean"))
-    return out.orderBy(F.col("n").desc(), F.col("best").desc(), label).limit(k)
-
-
-def uncertain(frames: DataFrame, key: str, vector: str, labels: DataFrame, label: str, label_vector: str, low: float, high: float, k: int) -> DataFrame:
-    """(key, n): the k frames with the most labels of a similarity from low to high; ties by key."""
-    scored = against_labels(frames, [key], vector, labels, label, label_vector)
-    return scored.groupBy(key).agg(F.count_if(F.col("s").between(low, high)).alias("n")).orderBy(F.col("n").desc(), key).limit(k)
-
-
-def deduplicated(df: DataFrame, entity: str, position: str, vector: str, most: float, keep_first: int) -> DataFrame:
-    """Drops a frame that is as similar as `most` to the last one kept; the first keep_first frames of an entity stay.
-
-    One pass over sorted rows that holds the last kept frame only, however long an
-    entity is. Null vectors are dropped.
-    """
-    import numpy as np
-    import pandas as pd
-
-    rows = df.select(entity, position, vector).where(F.col(vector).isNotNull())
-
-    def keep(batches):
-        owner, n, last = None, 0, None
-        for pdf in batches:
-            kept = []
-            for i, (e, v) in enumerate(zip(pdf[entity], pdf[vector])):
-                x = np.asarray(v, dtype=float)
-                x = x / max(float(np.linalg.norm(x)), 1e-300)
-                if owner is None or e != owner:
-                    owner, n, last = e, 0, None
-                if n < keep_first or last is None or float(x @ last) < most:
-                    kept.append(i)
-                    last = x
-                n += 1
-            yield pd.DataFrame(pdf.iloc[kept][[entity, position]])
-
-    ordered = rows.repartition(entity).sortWithinPartitions(entity, position)
-    return ordered.mapInPandas(keep, rows.select(entity, position).schema)

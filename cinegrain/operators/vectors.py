@@ -17,19 +17,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, F.round(dot(a, b) / length, 6))
 
 
-def similar_to(df: DataFrame, key: str, vector: str, query: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """(key, similarity): the k rows most similar to the one-row query (columns q_key, q), itself left out; ties by key."""
-    scored = df.crossJoin(F.broadcast(query.limit(1))).where(F.col(key) != F.col("q_key"))  # one row
-    scored = scored.select(key, cosine(F.col(vector), F.col("q")).alias("similarity")).where(F.col("similarity") >= least)
-    return scored.orderBy(F.col("similarity").desc(), key).limit(k)
-
-
-def centroids(df: DataFrame, group: str, vector: str, weight: Column | None = None) -> DataFrame:
-    """(group, pos, value): the weighted mean of each group, scaled to length one, a row per coordinate."""
-    w = F.lit(1.0) if weight is None else weight
-    sums = df.select(group, w.alias("w"), F.posexplode(vector).alias("pos", "x")).groupBy(group, "pos").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("s"))
-    length = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy(group)))
-    return sums.select(group, "pos", F.when(length > 0, F.round(F.col("s") / length, 6)).alias("value"))
+def similar_to(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """(q_key, key, similarity, place): for each query (columns q_key, q) the k most similar other rows, ties by key. A batch of rows is one product with all queries and sends at most k rows for each."""
+    from . import kernels
+
+    kinds = df.schema[key].dataType.simpleString(), queries.schema["q_key"].dataType.simpleString()
+    near = kernels.scored(df, [key], vector, queries, "q_key", "q", kernels.top_rows(k, least), f"q_key {kinds[1]}, {key} {kinds[0]}, similarity double")
+    place = F.row_number().over(Window.partitionBy("q_key").orderBy(F.col("similarity").desc(), key))
+    return near.withColumn("place", place).where(F.col("place") <= k)
+
+
+def centroids(df: DataFrame, group: str, vector: str, weight: Column | None = None, width: int = 64) -> DataFrame:
+    """(group, pos, value): the weighted mean of each group's vectors of `width` numbers, scaled to length one, a row per coordinate; see kernels.weighted_means."""
+    from .kernels import weighted_means
+
+    return weighted_means(df, group, vector, weight, width).select(group, F.posexplode("v").alias("pos", "value"))
 
 
 def consecutive(df: DataFrame, entity: list[str], position: str, vector: str) -> DataFrame:

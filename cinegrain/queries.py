@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checks import datasets as data_checks
+from .checks import details, library, similar
+from .checks import recommend as recommend_checks
 from .operators import datasets, frames, preference, recommend, taste, vectors
 from .plans.catalogue import PLANS
 from .shared import table
@@ -34,8 +37,9 @@ def planned(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def similar_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose id is divisible by 100."""
     e = table(spark, d, "embeddings")
-    return vectors.similar_to(e, "vec_id", "embedding", e.where("vec_id = 0").select(F.col("vec_id").alias("q_key"), F.col("embedding").alias("q")), 10)
+    return vectors.similar_to(e, "vec_id", "embedding", e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_key"), F.col("embedding").alias("q")), 10)
 
 
 def label_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -60,19 +64,7 @@ def frame_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_novelty(spark: SparkSession, d: str) -> DataFrame:
-    return frames.novelty(_embeddings(spark, d), ["label"], "vec_id", "embedding", 2)
-
-
-def best_tag_per_frame(spark: SparkSession, d: str) -> DataFrame:
-    return _best(_embeddings(spark, d))
-
-
-def _best(e: DataFrame) -> DataFrame:
-    return frames.best_label(e.withColumnRenamed("label", "item"), ["item", "vec_id"], "embedding", _tags(e), "tag", "tv", 0.3).withColumnRenamed("label", "tag")
-
-
-def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
-    return frames.coverage(_best(_embeddings(spark, d)), "item")
+    return frames.novelty(_embeddings(spark, d), "label", "vec_id", "embedding", 2)
 
 
 def frame_best_per_group(spark: SparkSession, d: str) -> DataFrame:
@@ -101,14 +93,6 @@ def rec_rewatch(spark: SparkSession, d: str) -> DataFrame:
     return recommend.recommend(recommend.profile(scores, e, "vec_id", "embedding", "score"), e, "vec_id", "embedding", scores, 20, only=True)
 
 
-def caption_clean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", datasets.clean_caption(F.col("text")).alias("caption")).where("caption IS NOT NULL")
-
-
-def group_split(spark: SparkSession, d: str) -> DataFrame:
-    return datasets.group_split(table(spark, d, "documents").select("doc_id", "scene_id"), "scene_id", 0.1)
-
-
 def tag_merge(spark: SparkSession, d: str) -> DataFrame:
     bridge = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     return datasets.merge_tags(bridge, "l_orderkey", "l_suppkey", 1, [2, 3])
@@ -118,31 +102,6 @@ def events_per_day(spark: SparkSession, d: str) -> DataFrame:
     return event_ops.windowed_counts(table(spark, d, "events"), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-def _tags(e: DataFrame) -> DataFrame:
-    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("tag"), F.col("embedding").alias("tv"))
-
-
-def tag_votes(spark: SparkSession, d: str) -> DataFrame:
-    e = _embeddings(spark, d)
-    return frames.votes(e, "embedding", _tags(e), "tag", "tv", 0.3, 20)
-
-
-def coverage_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _best(_embeddings(spark, d)).agg(F.round(F.percentile("similarity", 0.05), 6).alias("threshold"))
-
-
-def tag_what_if(spark: SparkSession, d: str) -> DataFrame:
-    e = _embeddings(spark, d)
-    new = F.broadcast(e.where("vec_id = 7").select(F.col("embedding").alias("q")).limit(1))
-    left = _best(e).where(~F.col("covered")).select("vec_id").join(e, "vec_id").crossJoin(new)
-    return left.select(vectors.cosine(F.col("embedding"), F.col("q")).alias("s")).where("s >= 0.2").agg(F.count("*").alias("frames"), F.round(F.avg("s"), 6).alias("mean"), F.max("s").alias("best"))
-
-
-def uncertainty_rank(spark: SparkSession, d: str) -> DataFrame:
-    e = _embeddings(spark, d)
-    return frames.uncertain(e, "vec_id", "embedding", _tags(e), "tag", "tv", 0.25, 0.35, 20)
-
-
 def rec_rewatch_blend(spark: SparkSession, d: str) -> DataFrame:
     """Similarity to the profile and share of the greatest score, 0.4 to 0.6, over the items that were seen."""
     scores, e = _scores(spark, d), _embeddings(spark, d)
@@ -152,10 +111,6 @@ def rec_rewatch_blend(spark: SparkSession, d: str) -> DataFrame:
     return mixed.select("vec_id", F.round(F.col("similarity") * 0.4 + F.col("score") / F.col("top") * 0.6, 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(20)
 
 
-def frame_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return frames.deduplicated(_embeddings(spark, d), "label", "vec_id", "embedding", 0.2, 10)
-
-
 def cluster_representatives(spark: SparkSession, d: str) -> DataFrame:
     return taste.representatives(_embeddings(spark, d), "label", "vec_id", "embedding")
 
@@ -165,20 +120,18 @@ def cluster_share(spark: SparkSession, d: str) -> DataFrame:
     return taste.shares(e, "label", "score")
 
 
-def similar_blend(spark: SparkSession, d: str) -> DataFrame:
-    """Items by a blend of their vector (0.7) with their neighbour's by id (0.3), against item 0."""
-    e = _embeddings(spark, d)
-    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("m"))
-    both = e.join(other, "vec_id", "left").select("vec_id", taste.blended(F.col("embedding"), F.col("m"), 0.7).alias("v"))
-    return vectors.similar_to(both, "vec_id", "v", e.where("vec_id = 0").select(F.col("vec_id").alias("q_key"), F.col("embedding").alias("q")), 10)
+def pref_warm_start(spark: SparkSession, d: str) -> DataFrame:
+    return preference.warm_start(_scores(spark, d).join(_embeddings(spark, d), "vec_id"), "embedding", F.col("score")).select("pos", "mean")
 
 
-def pref_warm_start(spark: SparkSession, d: str) -> DataFrame:
-    return preference.warm_start(_scores(spark, d).join(_embeddings(spark, d), "vec_id"), "embedding", F.col("score"))
+def pref_session_start(spark: SparkSession, d: str) -> DataFrame:
+    """The session version of the warm start."""
+    return preference.warm_start(_scores(spark, d).join(_embeddings(spark, d), "vec_id"), "embedding", F.col("score"), session=True)
 
 
 def pref_scores(spark: SparkSession, d: str) -> DataFrame:
-    model = pref_warm_start(spark, d).withColumn("variance", F.lit(4.0))
+    """All items by the warm start's model."""
+    model = preference.warm_start(_scores(spark, d).join(_embeddings(spark, d), "vec_id"), "embedding", F.col("score"))
     return preference.scores(_embeddings(spark, d), "vec_id", "embedding", model)
 
 
@@ -190,15 +143,6 @@ def pref_fold(spark: SparkSession, d: str) -> DataFrame:
     return preference.fold(pairs, "model", "vec_id", "w", "l")
 
 
-def taste_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """k-means of the item vectors (8 clusters, fixed seed): cluster, size."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = _embeddings(spark, d).select("vec_id", array_to_vector("embedding").alias("features"))
-    return KMeans(k=8, seed=42, maxIter=20).fit(rows).transform(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("size"))
-
-
 def item_coordinates(spark: SparkSession, d: str) -> DataFrame:
     """Two principal components of each item vector."""
     from pyspark.ml.feature import PCA
@@ -209,26 +153,19 @@ def item_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return xy.select("vec_id", F.round(F.col("c")[0], 4).alias("x"), F.round(F.col("c")[1], 4).alias("y"))
 
 
-QUERIES = {name: planned(text) for name, text in PLANS.items()} | {f.__name__: f for f in (similar_topk, label_centroids, consecutive_similarity, tag_closure, frame_segments, frame_novelty, best_tag_per_frame, coverage_summary, frame_best_per_group, detection_sessions, rec_discover, rec_rewatch, caption_clean, group_split, tag_merge, events_per_day, tag_votes, coverage_threshold, tag_what_if, uncertainty_rank, rec_rewatch_blend, frame_dedup, taste_clusters, item_coordinates, cluster_representatives, cluster_share, similar_blend, pref_warm_start, pref_scores, pref_fold)}
+QUERIES = {name: planned(text) for name, text in PLANS.items()} | {f.__name__: f for f in (similar_topk, label_centroids, consecutive_similarity, tag_closure, frame_segments, frame_novelty, frame_best_per_group, detection_sessions, rec_discover, rec_rewatch, tag_merge, events_per_day, rec_rewatch_blend, item_coordinates, cluster_representatives, cluster_share, pref_warm_start, pref_session_start, pref_scores, pref_fold)}
 
 _COS = "round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[]) * list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])), 6)"
 _LAG = "l AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)"
-_BEST = "b AS (SELECT f.label AS item, f.vec_id, g.vec_id AS tag, " + _COS.format(a="f.embedding", b="g.embedding") + " AS s FROM embeddings f, embeddings g WHERE g.vec_id % 20 = 0), o AS (SELECT item, vec_id, tag, s AS similarity, s >= 0.3 AS covered FROM (SELECT *, row_number() OVER (PARTITION BY item, vec_id ORDER BY s DESC, tag) AS k FROM b) WHERE k = 1)"
 _PROFILE = "s AS (SELECT user_id AS vec_id, count(*) AS score FROM events WHERE event_type = 'view' GROUP BY 1), x AS (SELECT score, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings JOIN s USING (vec_id)), c AS (SELECT pos, sum(score * v) AS v FROM x GROUP BY pos), q AS (SELECT list(round(v / n, 6) ORDER BY pos) AS q FROM c, (SELECT sqrt(sum(v * v)) AS n FROM c))"
+_WARM = "s AS (SELECT user_id AS vec_id, count(*) AS score FROM events WHERE event_type = 'view' GROUP BY 1), i AS (SELECT score, embedding FROM s JOIN embeddings USING (vec_id)), z AS (SELECT (score - avg(score) OVER ()) / stddev_pop(score) OVER () AS y, embedding FROM i), x AS (SELECT y, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS v FROM z), b AS (SELECT pos, sum(v * y) / (sum(v * v) + 1) AS b, sum(v * v) AS xx FROM x GROUP BY pos), m AS (SELECT pos, round(b / sqrt(sum(b * b) OVER ()), 6) AS mean, round(1 / (xx + 1), 6) AS variance FROM b)"
 SQL = {name: _check_text(text) for name, text in PLANS.items()} | {
-    "similar_topk": "SELECT a.vec_id, " + _COS.format(a="a.embedding", b="b.embedding") + " AS similarity FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 ORDER BY similarity DESC, a.vec_id LIMIT 10",
     "label_centroids": "WITH x AS (SELECT label, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT label, pos, sum(v) AS s FROM x GROUP BY 1, 2) SELECT label, pos, round(s / sqrt(sum(s * s) OVER (PARTITION BY label)), 6) AS value FROM s",
     "consecutive_similarity": "WITH l AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT label, vec_id, " + _COS.format(a="e", b="p") + " AS similarity FROM l",
     "tag_closure": "WITH RECURSIVE t(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey // 8 = t.id AND p_partkey > 1) SELECT id, min(depth)::INT AS depth FROM t GROUP BY id",
     "frame_segments": "WITH " + _LAG + ", n AS (SELECT label, vec_id, sum(CASE WHEN " + _COS.format(a="e", b="p") + " >= 0 THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY vec_id) AS segment FROM l) SELECT label, segment::BIGINT AS segment, min(vec_id) AS first, max(vec_id) AS last, count(*) AS n FROM n GROUP BY label, segment HAVING count(*) >= 2 OR segment = 1",
     "frame_novelty": "WITH f AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), n AS (SELECT a.label, a.vec_id, avg(list_dot_product(a.e, b.e)) AS m, count(b.k) AS c FROM f a LEFT JOIN f b ON a.label = b.label AND a.k <> b.k AND abs(a.k - b.k) <= 2 GROUP BY 1, 2) SELECT label, vec_id, CASE WHEN c > 0 THEN round((1 - m) * least(1.0, c / 4.0), 6) ELSE 0.0 END::DOUBLE AS novelty FROM n",
-    "tag_votes": "WITH s AS (SELECT g.vec_id AS tag, " + _COS.format(a="f.embedding", b="g.embedding") + " AS s FROM embeddings f, embeddings g WHERE g.vec_id % 20 = 0) SELECT tag, count(*) AS n, max(s) AS best, round(avg(s), 6) AS mean FROM s WHERE s >= 0.3 GROUP BY tag ORDER BY n DESC, best DESC, tag LIMIT 20",
-    "coverage_threshold": "WITH " + _BEST + " SELECT round(quantile_cont(similarity, 0.05), 6) AS threshold FROM o",
-    "tag_what_if": "WITH " + _BEST + ", u AS (SELECT " + _COS.format(a="e.embedding", b="q.embedding") + " AS s FROM o JOIN embeddings e ON e.vec_id = o.vec_id, embeddings q WHERE q.vec_id = 7 AND NOT covered) SELECT count(*) AS frames, round(avg(s), 6) AS mean, max(s) AS best FROM u WHERE s >= 0.2",
-    "uncertainty_rank": "WITH s AS (SELECT f.vec_id, " + _COS.format(a="f.embedding", b="g.embedding") + " AS s FROM embeddings f, embeddings g WHERE g.vec_id % 20 = 0) SELECT vec_id, count(*) FILTER (s BETWEEN 0.25 AND 0.35) AS n FROM s GROUP BY vec_id ORDER BY n DESC, vec_id LIMIT 20",
     "rec_rewatch_blend": "WITH " + _PROFILE + ", m AS (SELECT vec_id, score, " + _COS.format(a="embedding", b="q") + " AS similarity FROM embeddings JOIN s USING (vec_id), q) SELECT vec_id, round(similarity * 0.4 + score / (SELECT max(score) FROM m) * 0.6, 6) AS score FROM m ORDER BY score DESC, vec_id LIMIT 20",
-    "best_tag_per_frame": "WITH " + _BEST + " SELECT * FROM o",
-    "coverage_summary": "WITH " + _BEST + " SELECT item, count(*) AS frames, count(*) FILTER (covered) AS covered, round(count(*) FILTER (covered) / count(*), 6) AS share FROM o GROUP BY item",
     "frame_best_per_group": "WITH s AS (SELECT a.label, a.vec_id, " + _COS.format(a="a.embedding", b="q.embedding") + " AS score FROM embeddings a, embeddings q WHERE q.vec_id = 1 AND a.vec_id <> 1) SELECT label, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM s) WHERE k = 1 ORDER BY score DESC, label LIMIT 20",
     "detection_sessions": "WITH e AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS t, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 86400 THEN 0 ELSE 1 END AS b FROM e), n AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g) SELECT user_id, min(t) AS start, max(t) AS end, count(*) AS n, max(value) AS peak FROM n GROUP BY user_id, k",
     "rec_discover": "WITH " + _PROFILE + " SELECT vec_id, " + _COS.format(a="embedding", b="q") + " AS similarity FROM embeddings, q WHERE vec_id NOT IN (SELECT vec_id FROM s) ORDER BY similarity DESC, vec_id LIMIT 20",
@@ -237,5 +174,11 @@ SQL = {name: _check_text(text) for name, text in PLANS.items()} | {
     "events_per_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "cluster_share": "WITH s AS (SELECT user_id AS vec_id, count(*) AS score FROM events WHERE event_type = 'view' GROUP BY 1), g AS (SELECT label, count(*) AS items, sum(coalesce(score, 0)) AS s FROM embeddings LEFT JOIN s USING (vec_id) GROUP BY label) SELECT label, items, round(s / sum(s) OVER (), 6) AS share FROM g",
     "cluster_representatives": "WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings), t AS (SELECT label, pos, sum(v) AS s FROM x GROUP BY 1, 2), u AS (SELECT label, pos, round(s / sqrt(sum(s * s) OVER (PARTITION BY label)), 6) AS v FROM t), c AS (SELECT label, list(v ORDER BY pos) AS c FROM u GROUP BY label), r AS (SELECT label, vec_id, " + _COS.format(a="embedding", b="c") + " AS similarity FROM embeddings JOIN c USING (label)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id)::INT AS place FROM r) WHERE place <= 3",
-    "pref_warm_start": "WITH s AS (SELECT user_id AS vec_id, count(*) AS score FROM events WHERE event_type = 'view' GROUP BY 1), i AS (SELECT score, embedding FROM s JOIN embeddings USING (vec_id)), z AS (SELECT (score - avg(score) OVER ()) / stddev_pop(score) OVER () AS y, embedding FROM i), x AS (SELECT y, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS v FROM z), b AS (SELECT pos, sum(v * y) / (sum(v * v) + 1) AS b FROM x GROUP BY pos) SELECT pos, round(b / sqrt(sum(b * b) OVER ()), 6) AS mean FROM b",
+    "pref_warm_start": "WITH " + _WARM + " SELECT pos, mean FROM m",
+    "pref_session_start": "WITH " + _WARM + " SELECT pos, mean, variance FROM m",
+    "pref_scores": "WITH " + _WARM + ", e AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, round(sum(v * mean), 6) AS score, round(sqrt(sum(4 * v * v)), 6) AS sigma FROM e JOIN m USING (pos) GROUP BY 1",
+    "similar_topk": "SELECT q_key, vec_id, similarity, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY similarity DESC, vec_id) AS place FROM (SELECT b.vec_id AS q_key, a.vec_id, " + _COS.format(a="a.embedding", b="b.embedding") + " AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) WHERE place <= 10",
 }
+for _module in (library, details, similar, recommend_checks, data_checks):
+    QUERIES.update(_module.QUERIES)
+    SQL.update(_module.SQL)

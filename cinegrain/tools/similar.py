@@ -282,6 +282,14 @@ def representative_frames(cat: Catalog, k: int = 8, method: str = "maximin", rad
     return kernels.per_entity(frame_vectors(cat), "item_id", ["frame"], ["seconds", "v"], run, "frame int, diversity double, spread double, coverage double, score double")
 
 
+@tool()
+def modulo_frames(cat: Catalog, k: int = 16) -> DataFrame:
+    """About k representatives of each item by one step for all: the frames whose number is divisible by max(1, floor(mean number of frames / k))."""
+    f = frame_vectors(cat).select("item_id", "frame")
+    step = f.agg(F.greatest(F.lit(1), F.floor(F.count("*") / F.count_distinct("item_id") / k)).alias("step"))
+    return f.crossJoin(F.broadcast(step)).where("frame % step = 0").select("item_id", "frame")  # one row
+
+
 @tool()
 def frames_apart(cat: Catalog, most: float = 0.99, keep_first: int = 10) -> DataFrame:
     """Drops a frame that is as similar as `most` to the last one kept; the first keep_first frames stay."""
