@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def l2_weighted_mean(vectors: pd.Series, weights: pd.Series) -> list:
     """The weighted mean of vectors scaled to length one; null without vectors. For groups that fit a task; see kernels.weighted_means for others."""
     kept = [(np.asarray(v, dtype=float), float(w)) for v, w in zip(vectors, weights) if v is not None and w is not None]
@@ -34,7 +35,7 @@ def embedded(name: str, text: Column) -> Column:
     """The vectors of a text column by a registered embedder; null texts give nulls."""
     embed = EMBEDDERS[name]
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def run(texts: pd.Series) -> pd.Series:
         known = texts.dropna()
         vectors = embed(known.tolist()) if len(known) else []

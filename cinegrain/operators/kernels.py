@@ -129,25 +129,26 @@ def pairs_from(least: float, ordered: bool = True):
     return reduce
 
 
-def weighted_means(df: DataFrame, group: str, vector: str, weight: Column | None = None, width: int = 40) -> DataFrame:
+def weighted_means(df: DataFrame, group: str, vector: str, weight: Column | None = None, width: int | None = None) -> DataFrame:
     """(group, n, v): the number of vectors of each group and their weighted mean scaled to length one, six decimals; zero sums stay zero.
 
     Vectors are taken as they are. Every batch sends one sum per group; a second pass over rows sorted by group adds
-    them, holding one sum at a time. Rows with a null group or vector and vectors of other length are left out.
+    them, holding one sum at a time. Rows with a null group or vector are left out, and, where width is given,
+    vectors of other length; without it all must have the same.
     """
     kind = df.schema[group].dataType.simpleString()
     rows = df.select(F.col(group).alias("g"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"), F.col(vector).cast("array<double>").alias("x"))
-    rows = rows.where(F.col("g").isNotNull() & F.col("w").isNotNull() & (F.size("x") == width))
+    rows = rows.where(F.col("g").isNotNull() & F.col("w").isNotNull() & (F.size("x") == width if width else F.size("x") > 0))
     schema = f"g {kind}, n long, s array<double>"
 
     def listed(m: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, width, dtype=np.int32)), pa.array(m.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 code = b.column("g").dictionary_encode()
-                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width) * b.column("w").to_numpy()[:, None]
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) * b.column("w").to_numpy()[:, None]
                 at = code.indices.to_numpy()
                 order = np.argsort(at, kind="stable")
                 first = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
@@ -159,7 +160,7 @@ def weighted_means(df: DataFrame, group: str, vector: str, weight: Column | None
             if not b.num_rows:
                 continue
             code, kind_of = b.column("g").dictionary_encode(), b.column("g").type
-            at, s, n = code.indices.to_numpy(), b.column("s").flatten().to_numpy(zero_copy_only=False).reshape(-1, width), b.column("n").to_numpy()
+            at, s, n = code.indices.to_numpy(), b.column("s").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column("n").to_numpy()
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             sums, counts = np.add.reduceat(s, first), np.add.reduceat(n, first)
             names = code.dictionary.take(pa.array(at[first])).to_pylist()

@@ -27,8 +27,8 @@ def similar_to(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int,
     return near.withColumn("place", place).where(F.col("place") <= k)
 
 
-def centroids(df: DataFrame, group: str, vector: str, weight: Column | None = None, width: int = 64) -> DataFrame:
-    """(group, pos, value): the weighted mean of each group's vectors of `width` numbers, scaled to length one, a row per coordinate; see kernels.weighted_means."""
+def centroids(df: DataFrame, group: str, vector: str, weight: Column | None = None, width: int | None = None) -> DataFrame:
+    """(group, pos, value): the weighted mean of each group's vectors, scaled to length one, a row per coordinate; see kernels.weighted_means."""
     from .kernels import weighted_means
 
     return weighted_means(df, group, vector, weight, width).select(group, F.posexplode("v").alias("pos", "value"))

@@ -149,6 +149,8 @@ def item_coordinates(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = _embeddings(spark, d).select("vec_id", array_to_vector("embedding").alias("v"))
+    if rows.isEmpty():
+        return spark.createDataFrame([], "vec_id long, x double, y double")
     xy = PCA(k=2, inputCol="v", outputCol="c").fit(rows).transform(rows).select("vec_id", vector_to_array("c").alias("c"))
     return xy.select("vec_id", F.round(F.col("c")[0], 4).alias("x"), F.round(F.col("c")[1], 4).alias("y"))
 

@@ -109,7 +109,7 @@ def summary_document(cat: Catalog, limit: int = 5) -> DataFrame:
         rows = _ranked(cat, bridge, entities, key, "views", limit)
         line = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), key, "name"))), lambda x: x["name"]), ", ").alias(name))
         out = out.crossJoin(F.broadcast(line))  # one row
-    return out.withColumn("watched_pct", F.round(100 * F.col("watched") / F.col("items"), 4))
+    return out.withColumn("watched_pct", F.round(100 * F.col("watched") / F.nullif(F.col("items"), F.lit(0)), 4))
 
 
 @tool()

@@ -90,7 +90,7 @@ def library_totals(cat: Catalog) -> DataFrame:
     for part in (files, *parts):
         out = out.crossJoin(F.broadcast(part))  # one row each
     hours = F.col("seconds") / 3600
-    return out.select("items", "watched", "views", "peaks", "organized", "rated", "persons", "tags", "orgs", F.round(hours, 4).alias("hours"), F.round(F.col("bytes") / 1024**3, 4).alias("gib"), F.round(hours * 60 / F.col("items"), 4).alias("average_minutes"))
+    return out.select("items", "watched", "views", "peaks", "organized", "rated", "persons", "tags", "orgs", F.round(hours, 4).alias("hours"), F.round(F.col("bytes") / 1024**3, 4).alias("gib"), F.round(hours * 60 / F.nullif(F.col("items"), F.lit(0)), 4).alias("average_minutes"))
 
 
 @tool(pattern_type=("hourly", "weekday", "monthly", "recent"))

@@ -286,7 +286,7 @@ def representative_frames(cat: Catalog, k: int = 8, method: str = "maximin", rad
 def modulo_frames(cat: Catalog, k: int = 16) -> DataFrame:
     """About k representatives of each item by one step for all: the frames whose number is divisible by max(1, floor(mean number of frames / k))."""
     f = frame_vectors(cat).select("item_id", "frame")
-    step = f.agg(F.greatest(F.lit(1), F.floor(F.count("*") / F.count_distinct("item_id") / k)).alias("step"))
+    step = f.agg(F.greatest(F.lit(1), F.floor(F.count("*") / F.nullif(F.count_distinct("item_id"), F.lit(0)) / k)).alias("step"))
     return f.crossJoin(F.broadcast(step)).where("frame % step = 0").select("item_id", "frame")  # one row
 
 
@@ -392,7 +392,7 @@ def what_if_tag(cat: Catalog, tag_id: int, share: float = 0.05, least: float = 0
     q = tag_vectors(cat).where(F.col("tag_id") == tag_id).select(F.col("v").alias("q")).limit(1)
     left = best.where(~F.col("covered")).select("item_id", "frame").join(frame_vectors(cat), ["item_id", "frame"]).crossJoin(F.broadcast(q))  # one row
     hit = left.select(cosine(F.col("v"), F.col("q")).alias("s")).where(F.col("s") >= least).agg(F.count("*").alias("gained"), F.round(F.avg("s"), 6).alias("mean"), F.max("s").alias("best"))
-    return hit.crossJoin(F.broadcast(counts)).select("gained", "mean", "best", F.round((F.col("covered") + F.col("gained")) / F.col("frames"), 6).alias("ratio"))  # one row
+    return hit.crossJoin(F.broadcast(counts)).select("gained", "mean", "best", F.round((F.col("covered") + F.col("gained")) / F.nullif(F.col("frames"), F.lit(0)), 6).alias("ratio"))  # one row
 
 
 @tool()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cinegrain.operators import datasets, frames, recommend, vectors
+from cinegrain.operators import datasets, frames, kernels, recommend, vectors
 from cinegrain.sources import tables as sources
 from cinegrain.streaming import events
 
@@ -11,7 +11,7 @@ from cinegrain.streaming import events
 def test_cosine_and_top_k(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, None)], "id long, v array<float>")
     q = df.where("id = 0").select(F.col("id").alias("q_key"), F.col("v").alias("q"))
-    assert [tuple(r) for r in vectors.similar_to(df, "id", "v", q, 5).collect()] == [(1, 1.0), (2, 0.0)]
+    assert [tuple(r) for r in vectors.similar_to(df, "id", "v", q, 5).collect()] == [(0, 1, 1.0, 1), (0, 2, 0.0, 2)]
 
 
 def test_closure_ends_on_cycles(spark):
@@ -25,18 +25,24 @@ def test_segments_novelty_sessions(spark):
     df = spark.createDataFrame(rows, "item long, i int, v array<float>")
     got = {(r.item, r.first, r.last) for r in frames.segments(df, ["item"], "i", "v", 0.8).collect()}
     assert got == {(1, 0, 1), (1, 2, 3), (2, 0, 0)}
-    nov = {(r.item, r.i): r.novelty for r in frames.novelty(df, ["item"], "i", "v", 2).collect()}
+    nov = {(r.item, r.i): r.novelty for r in frames.novelty(df, "item", "i", "v", 2).collect()}
     assert nov[2, 0] == 0.0 and 0 < nov[1, 0] < 1 and nov[1, 2] > nov[1, 0] / 2
     hits = spark.createDataFrame([(1, 0.0, 0.5), (1, 30.0, 0.9), (1, 61.0, 0.4)], "e long, t double, s double")
     assert sorted(tuple(r) for r in frames.sessions(hits, "e", "t", 30.0, "s").collect()) == [(1, 0.0, 30.0, 2, 0.9), (1, 61.0, 61.0, 1, 0.4)]
 
 
-def test_best_label_in_blocks(spark, monkeypatch):
-    f = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "k long, v array<float>")
-    tags = spark.createDataFrame([(f"t{i}", [float(i), 2.0]) for i in range(7)], "t string, w array<float>")
-    whole = sorted(map(tuple, frames.best_label(f, ["k"], "v", tags, "t", "w", 0.9).collect()))
-    monkeypatch.setattr(frames, "LABELS", 2)
-    assert sorted(map(tuple, frames.best_label(f, ["k"], "v", tags, "t", "w", 0.9).collect())) == whole
+def test_best_label_in_lots(spark, monkeypatch):
+    f = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)] + [(9, None), (10, [0.0, 0.0]), (11, [1.0])], "k long, v array<float>")
+    tags = spark.createDataFrame([(f"t{i}", [float(i), 2.0]) for i in range(7)] + [(None, [1.0, 1.0])], "t string, w array<float>")
+
+    def best():
+        rows = kernels.scored(f, ["k"], "v", tags, "t", "w", kernels.best, "k long, t string, s double")
+        return sorted(map(tuple, rows.groupBy("k").agg(F.min(F.struct(-F.col("s"), "t")).alias("b")).collect()))
+
+    whole = best()
+    assert len(whole) == 6
+    monkeypatch.setattr(kernels, "SIDE_BYTES", 60)
+    assert best() == whole
 
 
 def test_recommend_leaves_out_what_was_seen(spark):
