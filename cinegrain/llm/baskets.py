@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 #: Items of a basket whose pairs are made by one row; a longer basket is spread over several.
 SLICE = 64
 
@@ -37,12 +39,13 @@ def item_pairs(df: DataFrame, items: str, min_count: int = 1, min_ratio: float =
     ratio <= total / (the greater count), so neither passes total / min_ratio.
     Both bounds are exact, and the second takes out the commonest items.
     """
-    baskets = collapsed(df, items)
+    baskets = stored(collapsed(df, items), "baskets")
     total = baskets.agg(F.sum("weight").alias("total"))
     counts = baskets.select(F.explode("basket").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("count"))
     possible = counts.where(F.col("count") >= min_count).crossJoin(F.broadcast(total))  # one row
     if min_ratio > 0:
         possible = possible.where(F.col("count") * F.lit(min_ratio) <= F.col("total"))
+    possible = stored(possible, "possible-items")
     # Back to baskets of possible items, which may collapse further.
     # Two hashes with different seeds: 128 bits stand for the basket.
     numbered = baskets.select(F.struct(F.xxhash64("basket").alias("x"), F.xxhash64(F.lit(1), "basket").alias("y")).alias("key"), "basket", "weight")
@@ -55,9 +58,12 @@ def item_pairs(df: DataFrame, items: str, min_count: int = 1, min_ratio: float =
         .groupBy("basket")
         .agg(F.sum("weight").alias("weight"))
     )
-    anchored = left.select(
-        "weight", "basket", F.explode(F.sequence(F.lit(0), F.floor((F.size("basket") - 1) / F.lit(SLICE)).cast("int"))).alias("block")
-    ).select("weight", "basket", F.explode(F.slice("basket", F.col("block") * SLICE + 1, F.lit(SLICE))).alias("item_a"))
+    left = stored(left, "left-baskets")
+    short = left.where(F.size("basket") <= SLICE).select("weight", "basket", F.explode("basket").alias("item_a"))
+    # A long basket is spread over as many tasks as it has slices.
+    slices = F.explode(F.sequence(F.lit(0), F.floor((F.size("basket") - 1) / F.lit(SLICE)).cast("int"))).alias("block")
+    long = left.where(F.size("basket") > SLICE).select("weight", "basket", slices).repartition(F.xxhash64("basket"), "block")
+    anchored = short.unionByName(long.select("weight", "basket", F.explode(F.slice("basket", F.col("block") * SLICE + 1, F.lit(SLICE))).alias("item_a")))
     pairs = (
         anchored.select("weight", "item_a", F.explode(F.filter("basket", lambda x: x > F.col("item_a"))).alias("item_b"))
         .groupBy("item_a", "item_b")

@@ -1,8 +1,9 @@
 """Problem 3: runs of near-identical consecutive events, by a state machine over sorted rows.
 
-One shuffle brings the rows of an entity together by chunks of the position, so
-that an entity that holds a third of all rows is spread over as many tasks as it
-has chunks. Each task reads its rows in order, batch by batch, and keeps only the
+One shuffle sorts the rows into ranges of entity and position that a sample of all
+rows makes equally large, so an entity that holds a third of all rows is spread over
+a third of the tasks, however far apart its positions lie. What an entity has in
+one range is a chunk. Each task reads its rows in order, batch by batch, and keeps only the
 run that is open. Runs that touch the border of a chunk carry the vector there and
 are stitched in a second, small pass; all others go past it.
 """
@@ -19,9 +20,6 @@ from pyspark.sql import functions as F
 
 from .tables import unit, usable_rows
 
-#: Positions of a chunk of the compare-with-previous machine; the first-of-run machine needs the entity whole.
-CHUNK = 4096
-
 _FIELDS = "first long, last long, n long, t_first double, t_last double, chunk long, at_start boolean, at_end boolean, v_first array<float>, v_last array<float>"
 
 
@@ -68,7 +66,7 @@ def find_runs(
     gap: float,
     least: int = 1,
     anchor: str = "previous",
-    chunk: int = CHUNK,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Each longest run of events that hardly change: entity, first, last, n, t_first, t_last, duration.
 
@@ -80,20 +78,27 @@ def find_runs(
     ("previous") or the first event of the run ("first"). Runs of fewer than
     `least` events are left out.
 
+    ranges: how many ranges the rows are cut into, by default the session's shuffle
+    partitions; with anchor "first" a task holds an entity's whole stream.
+
     A null in an entity column or the position drops the row; a null time begins
     a new run there and right after it; a null version is older than any other;
     equal rows count once; an empty table gives no rows; other columns are not read.
     """
     if anchor not in ("previous", "first"):
         raise ValueError("anchor is 'previous' or 'first'")
-    size = chunk if anchor == "previous" else None
+    size = anchor == "previous"
     keys = [f"k{i}" for i in range(len(entity))]
     rows = df.select(*[F.col(e).alias(k) for e, k in zip(entity, keys)], F.col(position).cast("bigint").alias("p"), F.col(time).cast("double").alias("t"), F.col(version).alias("ver"), F.col(vector).alias("v"))
     rows = rows.where(F.col("p").isNotNull())
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    rows = rows.withColumn("c", F.floor(F.col("p") / size) if size else F.lit(0).cast("bigint"))
-    sorted_rows = rows.repartition(*keys, "c").sortWithinPartitions(*keys, "c", "p", F.col("ver").desc_nulls_last()).drop("ver")
+    if size:
+        cut = [*([ranges] if ranges else []), *keys, "p"]
+        rows = rows.repartitionByRange(*cut).withColumn("c", F.spark_partition_id().cast("bigint"))
+    else:
+        rows = rows.repartition(*keys).withColumn("c", F.lit(0).cast("bigint"))
+    sorted_rows = rows.sortWithinPartitions(*keys, "c", "p", F.col("ver").desc_nulls_last()).drop("ver")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + _FIELDS
 

@@ -81,8 +81,11 @@ def test_runs_over_chunks_and_dirt(spark):
                 run = [b]
         truth.append((e, run[0][1], run[-1][1], len(run)))
     df = spark.createDataFrame([(*r, 1) for r in rows] + [(None, 1, 1.0, [1.0] * 40, 1, 1)], "e long, i int, t double, v array<float>, ver int, chunk int")
-    for chunk in (7, 4096):
-        got = [(r.e, r.first, r.last, r.n) for r in runs.find_runs(df, ["e"], "i", "t", "v", "ver", 0.95, 10.0, chunk=chunk).collect()]
+    far = df.withColumn("i", F.col("i") * 5000)
+    for ranges in (None, 23):
+        got = [(r.e, r.first, r.last, r.n) for r in runs.find_runs(df, ["e"], "i", "t", "v", "ver", 0.95, 10.0, ranges=ranges).collect()]
+        assert sorted(got) == sorted(truth)
+        got = [(r.e, r.first // 5000, r.last // 5000, r.n) for r in runs.find_runs(far, ["e"], "i", "t", "v", "ver", 0.95, 10.0, ranges=ranges).collect()]
         assert sorted(got) == sorted(truth)
     first = runs.find_runs(df, ["e"], "i", "t", "v", "ver", 0.95, 10.0, anchor="first").collect()
     assert sum(r.n for r in first) == sum(x[3] for x in truth)
@@ -101,6 +104,9 @@ def test_item_pairs(spark):
     some = {(r.item_a, r.item_b) for r in baskets.item_pairs(df, "items", 5, 1.0).collect()}
     assert some == {k for k, (n, x, y, t) in got.items() if n >= 5 and n * t >= x * y}
     assert baskets.item_pairs(df.limit(0), "items").count() == 0
+    long = spark.createDataFrame([([f"{i:03d}" for i in range(150)],), (["000", "149"],)], "items array<string>")
+    counts = {(r.item_a, r.item_b): r.n for r in baskets.item_pairs(long, "items").collect()}
+    assert len(counts) == 150 * 149 // 2 and counts["000", "149"] == 2
 
 
 def _vectors(n=300):
