@@ -8,7 +8,8 @@ bucket of every table and also looks into the bucket that it misses by the least
 The cosines of what meets in a bucket are computed exactly.
 
 Equal vectors are one class, so copies don't fill buckets; a bucket that is still
-larger than a bound is cut into blocks that all its visitors see.
+larger than a bound is cut into blocks that all its visitors see. A task holds one
+block at a time; its visitors come batch by batch.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import stored
+from ..shared import parallelism, stored
 from .tables import DIMENSIONS, unit, usable_rows
 from .vector_rows import group_sums, usable, vector_classes, vector_key
 
@@ -31,6 +32,8 @@ TABLES = 4
 PROBES = 1
 OCCUPANCY = 96
 BLOCK = 8192
+#: Rows in buckets of one task, about.
+PART = 500_000
 
 
 class CrossPolytope:
@@ -104,8 +107,8 @@ class CrossPolytope:
         return out
 
 
-def _bucket_rows(hashers: dict, probes: int, hot: dict):
-    """Rows for the buckets: at home (stored and asking) or as a visitor (asking only)."""
+def _bucket_rows(hashers: dict, probes: int):
+    """Rows for the buckets: at home or as a visitor."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,24 +120,18 @@ def _bucket_rows(hashers: dict, probes: int, hot: dict):
             for g in dict.fromkeys(groups):
                 own = np.array([i for i, v in enumerate(groups) if v == g])
                 keys = hashers[g].buckets(unit(matrix[own]), probes)
-                whose, table_no, bucket, block, home = [], [], [], [], []
-                who = b.column("x").to_numpy()[own]
+                whose, table_no, bucket, home = [], [], [], []
                 for t in range(keys.shape[0]):
                     for p in range(keys.shape[1]):
-                        cells = keys[t, p]
-                        blocks = np.array([hot.get((g, t, k), 1) for k in cells.tolist()]) if hot else np.ones(len(cells), dtype=np.int64)
-                        at = np.repeat(np.arange(len(cells)), blocks)
-                        nth = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                        whose.append(own[at])
-                        table_no.append(np.full(len(at), t, dtype=np.int32))
-                        bucket.append(cells[at])
-                        block.append(nth.astype(np.int32))
-                        home.append((p == 0) & (nth == who[at] % blocks[at]))
+                        whose.append(own)
+                        table_no.append(np.full(len(own), t, dtype=np.int32))
+                        bucket.append(keys[t, p])
+                        home.append(np.full(len(own), p == 0))
                 whose = np.concatenate(whose)
                 taken = b.take(pa.array(whose))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(table_no)), pa.array(np.concatenate(bucket)), pa.array(np.concatenate(block)), pa.array(np.concatenate(home)), *taken.columns],
-                    names=["t", "h", "blk", "home", *taken.schema.names],
+                    [pa.array(np.concatenate(table_no)), pa.array(np.concatenate(bucket)), pa.array(np.concatenate(home)), *taken.columns],
+                    names=["t", "h", "home", *taken.schema.names],
                 )
 
     return place
@@ -161,29 +158,41 @@ def _counts(hashers: dict):
 def _meet(least: float, per_owner: int, most: int):
     """Exact cosines of each bucket's visitors to its stored classes; the best `most` members for each visitor."""
 
-    def bucket(part: pa.Table) -> pa.RecordBatch | None:
-        home = part.column("home").combine_chunks().to_numpy(zero_copy_only=False)
-        if not home.any() or len(home) < 1:
-            return None
-        x = unit(usable_rows(part.column("v"))[1])
-        at_home = np.flatnonzero(home)
-        x32 = x.astype(np.float32)
-        stored_x = x32[at_home]
-        a, b = part.column("a").combine_chunks(), part.column("b").combine_chunks()
-        a_at, b_at = a.take(pa.array(at_home)), b.take(pa.array(at_home))
-        offsets = a_at.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        ids_a, ids_b = a_at.flatten().to_numpy(), b_at.flatten().to_numpy()
+    class Block:
+        """The stored classes of a block; asking rows come batch by batch, the block's own among them."""
+
+        def __init__(self, key: tuple):
+            self.key, self.parts, self.x = key, [], None
+
+        def opened(self) -> list[pa.RecordBatch]:
+            """Once all stored rows are there: what they find among each other."""
+            if self.x is not None or not self.parts:
+                return []
+            t = pa.Table.from_batches(self.parts).combine_chunks()
+            self.parts = []
+            self.x = unit(usable_rows(t.column("v"))[1])
+            self.x32 = self.x.astype(np.float32)
+            a, b = t.column("a").combine_chunks(), t.column("b").combine_chunks()
+            offsets = a.offsets.to_numpy()
+            self.offsets = offsets - offsets[0]
+            self.ids_a, self.ids_b = a.flatten().to_numpy(), b.flatten().to_numpy()
+            return [r for r in (self.asked(p) for p in t.to_batches()) if r is not None]
+
+        def asked(self, part: pa.RecordBatch) -> pa.RecordBatch | None:
+            return _found(self, unit(usable_rows(part.column("v"))[1]), part)
+
+    def _found(block: Block, x: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch | None:
+        x32, offsets, ids_a, ids_b = x.astype(np.float32), block.offsets, block.ids_a, block.ids_b
         found: list[tuple] = []
-        step = max(1, 4_000_000 // len(at_home))
+        step = max(1, 4_000_000 // len(block.x))
         for s in range(0, len(x), step):
-            near = x32[s : s + step] @ stored_x.T
-            q, h = np.divmod(np.flatnonzero(near.ravel() >= least - 1e-5), len(at_home))
+            near = x32[s : s + step] @ block.x32.T
+            q, h = np.divmod(np.flatnonzero(near.ravel() >= least - 1e-5), len(block.x))
             if not len(q):
                 continue
             q += s
             # Rounded to six decimals, as the similarity is; recomputed in double precision.
-            exact = np.round(np.einsum("ij,ij->i", x[q], x[at_home[h]]), 6)
+            exact = np.round(np.einsum("ij,ij->i", x[q], block.x[h]), 6)
             ok = exact >= least
             q, h, exact = q[ok], h[ok], exact[ok]
             members = offsets[h + 1] - offsets[h]
@@ -210,30 +219,36 @@ def _meet(least: float, per_owner: int, most: int):
             return None
         q, e, ca, cb = (np.concatenate(f) for f in zip(*found))
         of = pa.array(q)
-        return pa.RecordBatch.from_arrays([*[part.column(n).combine_chunks().take(of) for n in ("g", "x", "y")], pa.array(ca), pa.array(cb), pa.array(e)], names=["g", "x", "y", "ca", "cb", "cos"])
+        return pa.RecordBatch.from_arrays([*[part.column(n).take(of) for n in ("g", "x", "y")], pa.array(ca), pa.array(cb), pa.array(e)], names=["g", "x", "y", "ca", "cb", "cos"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        ready: list[pa.RecordBatch] = []
+        here: Block | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(pa.Table.from_batches([b]))
-            t = pa.concat_tables(held).combine_chunks()
-            change = np.zeros(t.num_rows, dtype=bool)
-            for n in ("g", "t", "h", "blk"):
-                col = t.column(n).combine_chunks()
+            ready: list[pa.RecordBatch] = []
+            change = np.zeros(b.num_rows, dtype=bool)
+            for n in ("g", "t", "h", "blk", "asks"):
+                col = b.column(n)
                 change[1:] |= pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False)
             starts = [0, *np.flatnonzero(change).tolist()]
-            for s, e in zip(starts[:-1], starts[1:]):
-                if (r := bucket(t.slice(s, e - s))) is not None:
+            groups, tables, cells, blocks, asks = (b.column(n).take(pa.array(starts)).to_pylist() for n in ("g", "t", "h", "blk", "asks"))
+            for i, (s, e) in enumerate(zip(starts, [*starts[1:], b.num_rows])):
+                key, part = (groups[i], tables[i], cells[i], blocks[i]), b.slice(s, e - s)
+                if here is None or here.key != key:
+                    if here is not None:
+                        ready += here.opened()
+                    here = Block(key)
+                if not asks[i]:
+                    here.parts.append(part)
+                    continue
+                ready += here.opened()
+                if here.x is not None and (r := here.asked(part)) is not None:  # else nobody is at home
                     ready.append(r)
-            held = [t.slice(starts[-1])]
             if ready:
                 yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-                ready = []
-        if held and (r := bucket(pa.concat_tables(held).combine_chunks())) is not None:
-            yield r
+        if here is not None:
+            yield from here.opened()
 
     return meet
 
@@ -250,7 +265,6 @@ def nearest(
     probes: int = PROBES,
     occupancy: int = OCCUPANCY,
     block: int = BLOCK,
-    hot_limit: int = 200_000,
 ) -> DataFrame:
     """(g, a, b, ca, cb, cos, place): for every vector up to k others of its group with the greatest cosine of at least `least`.
 
@@ -272,13 +286,17 @@ def nearest(
     most = 2 * k
     classes = stored(vector_classes(rows, k, most), "vector-classes")
     full = classes.select("g", "v").mapInArrow(_counts(hashers), "g string, t int, h long, n long").groupBy("g", "t", "h").agg(F.sum("n").alias("n")).where(F.col("n") > block)
-    hot_rows = full.select("g", "t", "h", F.ceil(F.col("n") / block).cast("int").alias("blocks")).limit(hot_limit + 1).collect()
-    if len(hot_rows) > hot_limit:
-        raise ValueError(f"more than {hot_limit} buckets hold over {block} vectors: lower occupancy or raise block")
-    hot = {(r.g, r.t, r.h): r.blocks for r in hot_rows}
-    placed = classes.mapInArrow(_bucket_rows(hashers, probes, hot), "t int, h long, blk int, home boolean, g string, x long, y long, a array<long>, b array<long>, v array<float>")
-    placed = placed.repartition("g", "t", "h", "blk").sortWithinPartitions("g", "t", "h", "blk")
-    met = placed.mapInArrow(_meet(least, k, most), "g string, x long, y long, ca long, cb long, cos double")
+    hot = stored(full.select("g", "t", "h", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot-buckets")  # at most one for each `block` rows
+    placed = classes.mapInArrow(_bucket_rows(hashers, probes), "t int, h long, home boolean, g string, x long, y long, a array<long>, b array<long>, v array<float>")
+    placed = placed.join(hot, ["g", "t", "h"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # A row is stored in one block of its home bucket and asks in all others.
+    placed = placed.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("asks", ~(F.col("home") & (F.col("blk") == F.pmod(F.col("x"), F.col("blocks"))))).drop("home", "blocks")
+    # As many parts as keep a task small, where the session's number doesn't.
+    parts = sum(n for n, _ in sums.values()) * tables * (1 + probes) // PART
+    cut = ["g", "t", "h", "blk"]
+    placed = placed.repartition(parts, *cut) if parts > parallelism(df.sparkSession) else placed.repartition(*cut)
+    met = placed.sortWithinPartitions(*cut, "asks").mapInArrow(_meet(least, k, most), "g string, x long, y long, ca long, cb long, cos double")
     best = met.groupBy("g", "x", "y", "ca", "cb").agg(F.max("cos").alias("cos"))
     order = [F.col("cos").desc(), F.col("ca"), F.col("cb")]
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("g", "x", "y", "ca").orderBy(*order))).where(F.col("r") <= k)
