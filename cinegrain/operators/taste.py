@@ -13,7 +13,8 @@ def blended(a: Column, b: Column, weight: float) -> Column:
     w = min(1.0, max(0.0, weight))
     mixed = F.zip_with(a, b, lambda x, y: x.cast("double") * w + y.cast("double") * (1 - w))
     length = F.sqrt(dot(mixed, mixed))
-    unit = F.when(length > 0, F.transform(mixed, lambda x: x / length)).otherwise(mixed)
+    # The length stands in an array, so it is computed once and not for each coordinate.
+    unit = F.when(length > 0, F.zip_with(mixed, F.array_repeat(length, F.size(mixed)), lambda x, n: x / n)).otherwise(mixed)
     return F.when(a.isNull(), b.cast("array<double>")).when(b.isNull() | (F.size(a) != F.size(b)), a.cast("array<double>")).otherwise(unit)
 
 

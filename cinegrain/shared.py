@@ -16,14 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    set, once per application.
+    Where a session on one machine names none a temporary folder is set, once per
+    application; on a cluster that is an error, as other machines couldn't read it.
     """
     sc = spark.sparkContext
     set_dir = sc.getCheckpointDir()
     if set_dir:
         return set_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="cinegrain-checkpoint-")
     sc.setCheckpointDir(named)

@@ -73,8 +73,7 @@ def blended_vectors(cat: Catalog, weight: float = 0.7) -> DataFrame:
     """(item_id, v): visual and metadata vectors (the mean of the item's tag vectors) blended; one alone stands for both."""
     meta = kernels.weighted_means(cat.item_tags.join(tag_vectors(cat).select("tag_id", F.col("v").alias("t")), "tag_id"), "item_id", "t").select("item_id", F.col("v").alias("m"))
     rows = item_vectors(cat).join(meta, "item_id", "full")
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y)))
-    return rows.select("item_id", blended(unit(F.col("v")), F.col("m"), weight).alias("v"))
+    return rows.select("item_id", blended(_unit("v"), F.col("m"), weight).alias("v"))
 
 
 @tool()
@@ -181,7 +180,8 @@ def segments_of(cat: Catalog, boundary: float = 0.8, least_seconds: float = 30.0
 def _unit(name: str) -> Column:
     v = F.col(name)
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / length)
+    # The length stands in an array, so it is computed once and not for each coordinate.
+    return F.zip_with(v, F.array_repeat(length, F.size(v)), lambda x, n: x.cast("double") / n)
 
 
 def novelty_of(x: np.ndarray, windows: tuple = (2, 15, 60), weights: tuple = (0.0, 1.0, 1.0)) -> np.ndarray:
