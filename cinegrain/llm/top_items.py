@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RUN = "_run"
+RUN, SUB = "_run", "_sub"
+#: Parts of a bucket by a hash of the group, and rows of whole parts that are merged at a time.
+SUBS, LOT = 4096, 200_000
 
 
 class LoserTree:
@@ -90,7 +92,7 @@ def merge_runs(group: np.ndarray, order: list[np.ndarray], starts: np.ndarray, n
     return np.array(out, dtype=np.int64)
 
 
-def top_items(df: DataFrame, group: str, score: str, ties: list[str], n: int) -> DataFrame:
+def top_items(df: DataFrame, group: str, score: str, ties: list[str], n: int, lot: int = LOT) -> DataFrame:
     """Of every group the n rows with the greatest score; ties by the smaller values of the tie columns.
 
     Returns the columns group, score and ties, one row per kept row. Rows with a
@@ -122,18 +124,32 @@ def top_items(df: DataFrame, group: str, score: str, ties: list[str], n: int) ->
             yield b[position < n].assign(**{RUN: number})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True)
+        """Merges a bucket's runs, some sub-buckets of whole groups at a time."""
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            if sum(map(len, held)) >= lot:
+                rows = pd.concat(held, ignore_index=True)
+                last = int(np.searchsorted(rows[SUB].to_numpy(), rows[SUB].iat[-1]))  # the last sub-bucket may go on
+                if last:
+                    yield merged(rows.iloc[:last])
+                held = [rows.iloc[last:]]
+        if held:
+            yield merged(pd.concat(held, ignore_index=True))
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.iloc[np.argsort(rows[RUN].to_numpy(), kind="stable")]
         runs = rows[RUN].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1], [True]]))
-        codes = pd.factorize(rows[group], sort=True)[0]
+        codes, names = pd.factorize(rows[group], sort=True)
+        codes = rows[SUB].to_numpy().astype(np.int64) * len(names) + codes
         # Dense ranks: descending for the score, ascending with null first for the ties.
         order = [-pd.factorize(rows[score], sort=True)[0], *[pd.factorize(rows[t], sort=True, use_na_sentinel=True)[0] for t in ties]]
-        keep = merge_runs(codes, order, starts, n)
-        yield rows.iloc[keep][columns]
+        return rows.iloc[merge_runs(codes, order, starts, n)][columns]
 
     runs = kept.sortWithinPartitions(F.col(group), *within).mapInPandas(run, schema)
-    bucketed = runs.repartition(group).sortWithinPartitions(F.col(RUN), F.col(group), *within)
+    sub = F.pmod(F.xxhash64(F.col(group)), F.lit(SUBS)).cast("int")
+    bucketed = runs.repartition(group).withColumn(SUB, sub).sortWithinPartitions(SUB, RUN, F.col(group), *within)
     return bucketed.mapInPandas(merge, kept.schema)

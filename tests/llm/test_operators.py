@@ -16,6 +16,7 @@ def test_top_items_equals_sorting(spark):
     rows = [(rng.choice(["a", "b", "c", None]), rng.choice([None, -1, 0, 3, 3, 9]), rng.choice([None, 1, 2, 3]), "x") for _ in range(400)]
     df = spark.createDataFrame(rows, "g string, s int, t int, _run string").repartition(7)
     got = [tuple(r) for r in top_items.top_items(df, "g", "s", ["t"], 4).collect()]
+    assert sorted(got, key=str) == sorted(map(tuple, top_items.top_items(df, "g", "s", ["t"], 4, lot=1).collect()), key=str)
     want = []
     for g in "abc":
         own = sorted(((r[0], r[1], r[2]) for r in rows if r[0] == g and r[1] is not None), key=lambda r: (-r[1], -1 if r[2] is None else r[2]))
