@@ -230,3 +230,45 @@ def text_links(spark: SparkSession, d: str) -> DataFrame:
     """Links, cut and escaped texts of the documents."""
     t = F.coalesce(F.col("text"), F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.array_join(fn.links(t), " ").alias("links"), fn.cut(t).alias("cut"), fn.escaped(t).alias("escaped"))
+
+
+@query("WITH o AS (SELECT *, o_orderkey % 3 = 0 AS renewed FROM orders) SELECT o_orderkey, o_custkey, CASE WHEN renewed THEN 0.0 ELSE o_totalprice END AS o_totalprice, o_orderdate AS created_at FROM o WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, 0.0, TIMESTAMP '2024-01-01' FROM o WHERE o_orderkey % 2 = 1 AND renewed")
+def source_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Even orders as a table, every third order renewed with a price of 0: what was there keeps its time of creation."""
+    from ..sources.tables import upserted
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").alias("created_at"))
+    new = o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.lit(0.0)).withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    return upserted(o.where("o_orderkey % 2 = 0"), new, ["o_orderkey"])
+
+
+@query("SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def source_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Line items without those of deleted orders."""
+    from ..sources.tables import without
+
+    return without(table(spark, d, "lineitem"), "l_orderkey", table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")))
+
+
+@query("SELECT event_id, ts, event_type FROM (SELECT *, row_number() OVER (ORDER BY event_id DESC) - 1 AS k FROM events) WHERE k < 200 AND k IN (SELECT round_even(i * 199 / 15.0, 0) FROM range(16) r(i))")
+def source_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen samples of the last 200 events."""
+    from ..sources.tables import last_lines
+
+    return last_lines(table(spark, d, "events").select("event_id", "ts", "event_type"), "event_id", 200)[1]
+
+
+_TAGS3 = "(SELECT id, list_slice(tags, 1, 3) AS l, tags FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM sample_library WHERE id IS NOT NULL) WHERE rn = 1)"
+
+
+@query(f"SELECT DISTINCT x.id, t.id AS tag_id, t.name FROM (SELECT id, unnest(l).name AS n FROM {_TAGS3}) x JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM tags WHERE id IS NOT NULL) WHERE rn = 1) t ON lower(trim(t.name)) = lower(regexp_replace(x.n, '^\\s+|\\s+$', '', 'g')) WHERE trim(x.n) <> '' AND NOT (x.id % 2 = 1 AND EXISTS (SELECT 1 FROM sample_library s, unnest(s.tags) u(q) WHERE s.id = x.id AND u.q.id = t.id AND s.updated_at = (SELECT max(updated_at) FROM sample_library m WHERE m.id = x.id)))")
+def text_suggested_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Known tags in texts that list the first three tags of an item as suggested; items of odd ids have their tags already."""
+    from ..catalog import Catalog, newest
+    from ..tools.details import suggested_tags
+
+    cat = Catalog(spark, d)
+    rows = newest(cat.table("sample_library").select("id", "tags", "updated_at"), ["id"], "updated_at")
+    names = F.filter(F.transform(F.slice("tags", 1, 3), lambda t: t["name"]), lambda n: n.isNotNull())
+    texts = rows.select("id", F.concat(F.lit("Seen.\nSuggested tags:\n- "), F.array_join(names, " (likely)\n* "), F.lit("\n\nEnd.")).alias("t"))
+    return suggested_tags(texts, "id", "t", cat.tags, cat.item_tags.where("item_id % 2 = 1").select(F.col("item_id").alias("id"), "tag_id"))

@@ -55,6 +55,7 @@ add("tool_metadata_text", details.metadata_text, lib("SELECT i.id AS item_id, co
 add("tool_primary_paths", details.primary_paths, lib("SELECT item_id, array_to_string(list_slice(string_split(path, '/'), 1, -2), '/') AS folder, split_part(path, '/', -1) AS file, regexp_replace(split_part(path, '/', -1), '\\.\\w+$', '') AS stem, lower(regexp_extract(path, '\\.(\\w+)$', 1)) AS extension, path AS built FROM prim WHERE path IS NOT NULL"))
 add("tool_tags_by_usage", details.tags_by_usage, lib("SELECT t.id AS tag_id, t.name, count(item_id) AS items FROM tg t LEFT JOIN item_tags ON tag_id = t.id WHERE t.id NOT IN (SELECT tag_id FROM below) GROUP BY 1, 2 ORDER BY items DESC, 1 LIMIT 500", below(["goat sport"]), recursive=True), excluded=("goat sport",))
 add("tool_orphans", details.orphans_of, lib("SELECT item_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT scene_id AS item_id, 'scene_embeddings' AS source FROM scene_embeddings UNION ALL SELECT scene_id, 'frame_embeddings' FROM frame_embeddings) WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT id FROM items) GROUP BY 1"))
+add("tool_orphan_cleanup", details.orphan_cleanup, " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) FILTER (scene_id IN (1, 2, 3)) AS deleted, count(*) FILTER (coalesce(scene_id NOT IN (1, 2, 3), true)) AS kept FROM {t}" for t in ("scene_embeddings", "frame_embeddings")), item_ids=(1, 2, 3))
 add("tool_model_keys", details.model_keys, "SELECT model_key FROM scene_embeddings WHERE model_key IS NOT NULL UNION SELECT model_key FROM frame_embeddings WHERE model_key IS NOT NULL")
 _GOOD = "len({0}) = 40 AND len(list_filter({0}, lambda x: x IS NOT NULL AND isfinite(x))) = 40 AND len(list_filter({0}, lambda x: x <> 0)) > 0"
 _SV = "sv AS (SELECT scene_id AS item_id, model_key, composite_embedding AS v, updated_at AS at_ FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, model_key ORDER BY updated_at DESC NULLS LAST) AS rn FROM scene_embeddings WHERE scene_id IS NOT NULL AND model_key IS NOT NULL) WHERE rn = 1)"

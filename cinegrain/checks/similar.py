@@ -116,5 +116,23 @@ def vec_contrastive_loss(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = mean("fm", "(SELECT item_id AS g, 1.0 AS w, v FROM fr)") + ", pa AS (SELECT item_id AS id, iv.v AS i, fm.v AS t FROM iv JOIN fm ON g = item_id), al AS (SELECT a.id AS a, b.id AS b, " + cos("a.i", "b.t") + " AS s FROM pa a, pa b)"
 SQL["vec_recall_at_k"] = lib("SELECT k::INT AS k, round(avg((ri <= k)::INT), 6) AS image_to_text, round(avg((rt <= k)::INT), 6) AS text_to_image FROM (SELECT o.a, 1 + count(*) FILTER (x.s > o.s AND x.a = o.a) AS ri, 1 + count(*) FILTER (x.s > o.s AND x.b = o.a) AS rt FROM al o JOIN al x ON (x.a = o.a OR x.b = o.a) AND x.a <> x.b WHERE o.a = o.b GROUP BY 1), (VALUES (1), (5), (10)) ks(k) WHERE k <= (SELECT count(*) FROM pa) GROUP BY 1", IV, FR, _PAIRS)
 SQL["vec_contrastive_loss"] = lib("SELECT round(avg((ln(si) + ln(st)) / 2 + 10 - 10 * own), 6) AS loss FROM (SELECT a, sum(exp(10 * (s - 1))) AS si FROM al GROUP BY 1) JOIN (SELECT b AS a, sum(exp(10 * (s - 1))) AS st FROM al GROUP BY 1) USING (a) JOIN (SELECT a, s AS own FROM al WHERE a = b) USING (a)", IV, FR, _PAIRS)
-for _f in (vec_best_frames, vec_recall_at_k, vec_contrastive_loss):
+def vec_window_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """window_vectors with the vector as its sum, for the check."""
+    rows = similar.window_vectors(Catalog(spark, d))
+    return rows.select("item_id", "at", "n", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("v_sum"))
+
+
+def vec_search_text(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of a search by an embedder that takes each text as the first coordinate."""
+    from ..functions.udf import register_embedder
+
+    register_embedder("first", lambda texts: [[1.0] + [0.0] * 39 for _ in texts])
+    return similar.search_text(Catalog(spark, d), query="anything", embedder="first", limit=10, page=2)
+
+
+SQL["vec_search_text"] = lib("SELECT item_id, similarity, total, ceil(total / 10)::BIGINT AS pages, total > 20 AS has_more FROM (SELECT item_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS similarity, count(*) OVER () AS total FROM iv) ORDER BY similarity DESC, item_id LIMIT 10 OFFSET 10", IV)
+_WINDOW = "mk AS (SELECT item_id, seconds AS at_, coalesce(duration, seconds + 5) AS len FROM (SELECT f.item_id, f.seconds, row_number() OVER (PARTITION BY f.item_id ORDER BY " + cos("f.v", "i.v") + " DESC, frame) AS k FROM fr f JOIN iv i ON i.item_id = f.item_id) LEFT JOIN prim USING (item_id) WHERE k = 1)"
+SQL["vec_window_vectors"] = lib("SELECT item_id, at_ AS at, wm.n, round(list_sum(wm.v), 5) AS v_sum FROM mk JOIN wm ON wm.g = item_id", IV, FR, _WINDOW, mean("wm", f"(SELECT item_id AS g, 1.0 AS w, {unit('v')} AS v FROM fr JOIN mk USING (item_id) WHERE seconds >= greatest(0, at_ - 5) AND seconds < least(at_ + 5, len))"))
+add("vec_similarity_drops", similar.similarity_drops, lib("SELECT item_id, frame, s AS similarity, before FROM (SELECT *, round(avg(s) OVER (PARTITION BY item_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 8) AS before FROM (SELECT *, " + cos("v", "p") + " AS s FROM (SELECT *, lag(v) OVER (PARTITION BY item_id ORDER BY frame) AS p FROM fr))) WHERE round(before - s, 6) >= 0.2", FR))
+for _f in (vec_search_text, vec_window_vectors, vec_best_frames, vec_recall_at_k, vec_contrastive_loss):
     QUERIES[_f.__name__] = _f

@@ -180,6 +180,18 @@ def orphans_of(cat: Catalog) -> DataFrame:
     return gone.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
+@tool()
+def orphan_cleanup(cat: Catalog, item_ids: tuple = ()) -> DataFrame:
+    """A dry run: how many rows of each vector table deleting these items (or else all orphans) takes out and leaves. sources.tables.without does it."""
+    out = None
+    gone = orphans_of(cat).select("item_id") if not item_ids else cat.spark.createDataFrame([(i,) for i in item_ids], "item_id long")
+    for t in ("scene_embeddings", "frame_embeddings"):
+        rows = cat.table(t).select(F.col("scene_id").alias("item_id")).join(gone.withColumn("gone", F.lit(True)), "item_id", "left")
+        part = rows.agg(F.count("gone").alias("deleted"), F.count_if(F.col("gone").isNull()).alias("kept")).select(F.lit(t).alias("source"), "deleted", "kept")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @tool()
 def model_keys(cat: Catalog) -> DataFrame:
     """The models of the vector tables, each once."""
@@ -240,7 +252,7 @@ def suggested_tags(texts: DataFrame, key: str, text: str, tags: DataFrame, prese
     One per line or comma, bullets and trailing parentheses stripped, case aside; the section ends at an empty line. present: (key, tag_id).
     """
     section = F.regexp_extract(F.col(text), r"(?is)suggested tags:?\s*(.*?)(?:\n\s*\n|$)", 1)
-    name = F.trim(F.regexp_replace(F.regexp_replace(F.col("part"), r"^[\s\-*•\d.)]+", ""), r"\s*\([^()]*\)\s*$", ""))
+    name = F.regexp_replace(F.regexp_replace(F.col("part"), r"^[\s\-*•\d.)]+", ""), r"\s*(?:\([^()]*\))?\s*$", "")
     parts = texts.select(key, F.explode(F.split(section, r"[\n,]")).alias("part")).select(key, F.lower(name).alias("low")).where("low <> ''").distinct()
     known = tags.select(F.col("id").alias("tag_id"), "name", F.lower(F.trim("name")).alias("low"))
     return parts.join(known, "low").drop("low").join(present, [key, "tag_id"], "left_anti")

@@ -108,6 +108,39 @@ def visual_filter(cat: Catalog, query_item: int, scoring_mode: str = "ranked", m
     return top(best, limit, F.col("similarity").desc(), "item_id")
 
 
+@tool()
+def search_text(cat: Catalog, query: str, embedder: str = "default", limit: int = 10, page: int = 1) -> DataFrame:
+    """A page of the items most like a text, by the vector that a registered embedder gives it; no threshold. total and has_more tell of further pages."""
+    from ..functions.udf import EMBEDDERS
+    from .details import page_of
+
+    q = cat.spark.createDataFrame([([float(x) for x in EMBEDDERS[embedder]([query])[0]],)], "q array<double>")
+    rows = item_vectors(cat).crossJoin(F.broadcast(q)).select("item_id", cosine(F.col("v"), F.col("q")).alias("similarity"))  # one row
+    return page_of(rows.where("similarity IS NOT NULL"), [F.col("similarity").desc(), "item_id"], page, limit)
+
+
+@tool()
+def window_vectors(cat: Catalog, markers: DataFrame | None = None, half: float = 5.0) -> DataFrame:
+    """(item_id, at, n, v): the mean vector of the frames in a window round each marker (item_id, at), from at - half on and before at + half, clamped to the item's length.
+    Without markers the second of each item's most typical frame. A range join on equal items: only the item's own frames are paired with its markers."""
+    frames = frame_vectors(cat)
+    if markers is None:
+        markers = best_frames(cat).select("item_id", "frame").join(frames.select("item_id", "frame", F.col("seconds").alias("at")), ["item_id", "frame"]).select("item_id", "at")
+    spans = markers.join(cat.primary.select("item_id", "duration"), "item_id", "left").select("item_id", "at", F.greatest(F.lit(0.0), F.col("at") - half).alias("lo"), F.least(F.col("at") + half, F.coalesce("duration", F.col("at") + half)).alias("hi"))
+    inside = frames.join(spans, "item_id").where((F.col("seconds") >= F.col("lo")) & (F.col("seconds") < F.col("hi")))
+    keyed = inside.select(F.concat_ws(":", "item_id", "at").alias("key"), _unit("v").alias("v"))
+    return kernels.weighted_means(keyed, "key", "v").select(F.split("key", ":")[0].cast("bigint").alias("item_id"), F.split("key", ":")[1].cast("double").alias("at"), "n", "v")
+
+
+@tool()
+def similarity_drops(cat: Catalog, least: float = 0.2) -> DataFrame:
+    """Frames whose similarity to the frame before is at least `least` below the mean of the up to three similarities before that."""
+    w = Window.partitionBy("item_id").orderBy("frame")
+    f = frame_vectors(cat).withColumn("s", cosine(F.col("v"), F.lag("v").over(w)))
+    f = f.withColumn("before", F.round(F.avg("s").over(w.rowsBetween(-3, -1)), 8))
+    return f.where(F.round(F.col("before") - F.col("s"), 6) >= least).select("item_id", "frame", F.col("s").alias("similarity"), "before")
+
+
 @tool()
 def best_frames(cat: Catalog) -> DataFrame:
     """Of each item the frame most like the item's vector, with the frame's vector."""
