@@ -277,23 +277,35 @@ def smart_frames(cat: Catalog, most: int = 16) -> DataFrame:
     return kernels.per_entity(frame_vectors(cat), "item_id", ["frame"], ["seconds", "v"], run, "frame int, seconds double")
 
 
+def _reached(x: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """How many of `others` each row of x is at least so similar to, some rows at a time."""
+    out, step = np.zeros(len(x), dtype=np.int64), max(1, 4_000_000 // max(1, len(others)))
+    for s in range(0, len(x), step):
+        out[s : s + step] = (np.round(x[s : s + step] @ others.T, 6) >= least).sum(axis=1)
+    return out
+
+
 def spread_frames(x: np.ndarray, k: int, method: str, radius: float = 0.2) -> np.ndarray:
-    """Places of k representatives: "maximin" starts nearest to the centre and takes what is furthest from all taken; "coverage" takes what has the most uncovered rows within 1 - radius."""
-    s = np.round(x @ x.T, 6)
-    k = min(k, len(x))
+    """Places of k representatives: "maximin" starts nearest to the centre and takes what is furthest from all taken; "coverage" takes what has the most uncovered rows within 1 - radius.
+    No matrix of all pairs is held: maximin needs one row a step, coverage counts in blocks and takes off what each step covers."""
+    k, taken = min(k, len(x)), []
     if method == "maximin":
-        taken = [int(np.argmax(np.round(x @ x.mean(axis=0), 6)))]
-        near = s[taken[0]].copy()
-        while len(taken) < k:
+        near = np.full(len(x), -2.0)
+        at = int(np.argmax(np.round(x @ x.mean(axis=0), 6)))
+        while True:
+            taken.append(at)
+            if len(taken) == k:
+                return np.array(taken)
+            near = np.maximum(near, np.round(x @ x[at], 6))
             near[taken] = 2
-            taken.append(int(np.argmin(near)))
-            near = np.maximum(near, s[taken[-1]])
-        return np.array(taken)
-    within, open_, taken = s >= 1 - radius, np.ones(len(x), dtype=bool), []
+            at = int(np.argmin(near))
+    open_, n = np.ones(len(x), dtype=bool), _reached(x, x, 1 - radius)
     while len(taken) < k and open_.any():
-        i = int(np.argmax((within & open_).sum(axis=1)))
-        taken.append(i)
-        open_ &= ~within[i]
+        at = int(np.argmax(n))
+        taken.append(at)
+        fresh = open_ & (np.round(x @ x[at], 6) >= 1 - radius)
+        n -= _reached(x, x[fresh], 1 - radius)
+        open_ &= ~fresh
     return np.array(taken)
 
 

@@ -194,3 +194,21 @@ def test_retrieval_metrics_and_loss(spark):
     got = {r.k: (r.image_to_text, r.text_to_image) for r in similar.retrieval_metrics(rows, "id", "i", "t", (1, 2, 5)).collect()}
     assert set(got) == {1, 2} and got[1][0] == round(1 / 3, 6)
     assert similar.contrastive_loss(rows, "id", "i", "t", 1.0).collect()[0].loss > 0
+
+
+def test_representatives_equal_the_matrix():
+    import numpy as np
+
+    g = np.random.default_rng(2)
+    x = np.repeat(g.normal(size=(9, 5)), 7, axis=0) + g.normal(size=(63, 5)) * 0.2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(x @ x.T, 6)
+    taken = similar.spread_frames(x, 6, "maximin").tolist()
+    for i in range(1, 6):
+        far = s[:, taken[:i]].max(axis=1)
+        assert far[taken[i]] == np.delete(far, taken[:i]).min()
+    open_ = np.ones(63, dtype=bool)
+    for at in similar.spread_frames(x, 6, "coverage", 0.2):
+        n = ((s >= 0.8) & open_).sum(axis=1)
+        assert n[at] == n.max()
+        open_ &= s[at] < 0.8
