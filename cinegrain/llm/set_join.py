@@ -29,17 +29,26 @@ def _least(threshold: float, size: Column) -> Column:
     return F.ceil(F.lit(threshold) * size - F.lit(1e-9)).cast("int")
 
 
+def keyed_sets(df: DataFrame, key: str, members: str, least_size: int) -> DataFrame:
+    """(record, set_key, members): each record's sorted members, nulls and repeats taken out, if there are at least least_size of them."""
+    sets = df.select(F.col(key).alias("record"), F.array_sort(F.array_distinct(F.filter(F.col(members), lambda m: m.isNotNull()))).alias("members")).where(F.size("members") >= least_size)
+    return sets.select("record", F.struct(F.xxhash64("members").alias("x"), F.xxhash64(F.lit(1), "members").alias("y")).alias("set_key"), "members")
+
+
 def distinct_sets(df: DataFrame, key: str, members: str, least_size: int) -> DataFrame:
+    """The distinct sets of keyed_sets, see distinct."""
+    return distinct(keyed_sets(df, key, members, least_size))
+
+
+def distinct(sets: DataFrame) -> DataFrame:
     """(set_key, rep, copies, tokens): one row per distinct set; tokens sorted by rising frequency.
 
     rep is the smallest key of the rows that hold the set, copies their number.
     Frequencies are counted over all distinct sets. Two hashes with different
     seeds stand for the set.
     """
-    sets = df.select(key, F.array_sort(F.array_distinct(F.filter(F.col(members), lambda m: m.isNotNull()))).alias("members")).where(F.size("members") >= least_size)
-    sets = sets.select(key, "members", F.struct(F.xxhash64("members").alias("x"), F.xxhash64(F.lit(1), "members").alias("y")).alias("set_key"))
-    distinct = sets.groupBy("set_key").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("members").alias("members"))
-    tokens = distinct.select("set_key", "rep", "copies", F.explode("members").alias("token"))
+    whole = sets.groupBy("set_key").agg(F.min("record").alias("rep"), F.count("*").alias("copies"), F.first("members").alias("members"))
+    tokens = whole.select("set_key", "rep", "copies", F.explode("members").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("f"))
     ranked = (
         tokens.join(frequency, "token")
@@ -142,11 +151,9 @@ def similar_records(df: DataFrame, key: str, members: str, threshold: float = 0.
     pairs, and in its pairs with other groups by each member; a group of more
     than `copies` records in blocks of about so many, a task per pair of blocks.
     """
-    sets = distinct_sets(df, key, members, least_size)
-    classes = stored(sets, "set-classes")
-    of = df.select(F.col(key).alias("record"), F.array_sort(F.array_distinct(F.filter(F.col(members), lambda m: m.isNotNull()))).alias("m")).where(F.size("m") >= least_size)
-    of = of.select("record", F.struct(F.xxhash64("m").alias("x"), F.xxhash64(F.lit(1), "m").alias("y")).alias("set_key"))
-    member = of.join(classes.where(F.col("copies") > 1).select("set_key", "rep", "copies"), "set_key").select("record", "rep", "copies")
+    sets = stored(keyed_sets(df, key, members, least_size), "keyed-sets")
+    classes = stored(distinct(sets), "set-classes")
+    member = sets.select("record", "set_key").join(classes.where(F.col("copies") > 1).select("set_key", "rep", "copies"), "set_key").select("record", "rep", "copies")
     member = stored(member, "set-members")
     blocks = _blocks(F.col("copies"), copies)
     placed = member.select("record", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("record"), blocks.cast("bigint")).cast("int").alias("own"))
