@@ -129,7 +129,7 @@ add(
     "tool_org_profile",
     library.org_profile_of,
     lib(
-        "SELECT o.id AS org_id, o.name, coalesce(p.name, '') AS parent, s.*, coalesce((SELECT string_agg(c.name || ' (' || n || ')', ', ' ORDER BY c.id) FROM (SELECT c.id, c.name, count(i.id) AS n FROM og c LEFT JOIN items i ON i.org_id = c.id WHERE c.parent_id = (SELECT id FROM who) GROUP BY 1, 2) c), '') AS below, (SELECT string_agg(name, ', ' ORDER BY n DESC, person_id) FROM (SELECT person_id, name, count(*) AS n FROM item_persons JOIN ps ON ps.id = person_id WHERE item_id IN (SELECT id FROM own) GROUP BY 1, 2 ORDER BY n DESC, 1 LIMIT 10)) AS people, (SELECT string_agg(name, ', ' ORDER BY n DESC, tag_id) FROM (SELECT tag_id, name, count(*) AS n FROM item_tags JOIN tg ON tg.id = tag_id WHERE item_id IN (SELECT id FROM own) GROUP BY 1, 2 ORDER BY n DESC, 1 LIMIT 10)) AS tags FROM og o JOIN who ON who.id = o.id LEFT JOIN og p ON p.id = o.parent_id, s",
+        "SELECT o.id AS org_id, o.name, coalesce(p.name, '') AS parent, s.*, coalesce((SELECT string_agg(c.name || ' (' || n || ')', ', ' ORDER BY c.id) FROM (SELECT c.id, c.name, count(i.id) AS n FROM og c LEFT JOIN items i ON i.org_id = c.id WHERE c.parent_id = (SELECT id FROM who) GROUP BY 1, 2) c), '') AS below, coalesce((SELECT string_agg(name, ', ' ORDER BY n DESC, person_id) FROM (SELECT person_id, name, count(*) AS n FROM item_persons JOIN ps ON ps.id = person_id WHERE item_id IN (SELECT id FROM own) GROUP BY 1, 2 ORDER BY n DESC, 1 LIMIT 10)), '') AS people, coalesce((SELECT string_agg(name, ', ' ORDER BY n DESC, tag_id) FROM (SELECT tag_id, name, count(*) AS n FROM item_tags JOIN tg ON tg.id = tag_id WHERE item_id IN (SELECT id FROM own) GROUP BY 1, 2 ORDER BY n DESC, 1 LIMIT 10)), '') AS tags FROM og o JOIN who ON who.id = o.id LEFT JOIN og p ON p.id = o.parent_id, s",
         "who AS (SELECT id FROM og WHERE contains(lower(name), 'films') ORDER BY CASE WHEN lower(name) = 'films' THEN 0 ELSE 1 END, name, id LIMIT 1)",
         "own AS (SELECT * FROM eng WHERE org_id = (SELECT id FROM who))",
         "s AS (SELECT count(*) AS items, round(coalesce(sum(duration), 0), 2) AS seconds, min(created_at) AS first, max(created_at) AS last, round(avg(rating) / 20, 4) AS stars FROM own)",
@@ -184,7 +184,7 @@ def _some(*texts: str) -> str:
 add("tool_items_of_all_tags", library.items_of_tags, lib("SELECT item_id, count(DISTINCT lower(trim(name))) AS matched FROM item_tags JOIN tg ON id = tag_id WHERE lower(trim(name)) IN ('loom travel', 'goat sport') GROUP BY 1 HAVING count(DISTINCT lower(trim(name))) = 2"), tag_names=("Loom Travel", "goat sport"), match_mode="all")
 add("tool_items_of_any_person", library.items_of_persons, lib("SELECT item_id, count(*) AS matched FROM item_persons JOIN who ON who.id = person_id GROUP BY 1", _some("sel", "mur")), person_names=("sel", "mur"))
 add("tool_items_of_all_persons", library.items_of_persons, lib("SELECT item_id, count(*) AS matched FROM item_persons JOIN who ON who.id = person_id GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM who)", _some("ten", "sha")), person_names=("ten", "sha"), match_mode="all")
-add("tool_names_not_found", library.names_not_found, "SELECT 1::INT AS place, 'nobody of this name' AS name", person_names=("sel", "nobody of this name"))
+add("tool_names_not_found", library.names_not_found, lib("SELECT place::INT AS place, asked AS name FROM (VALUES (0, 'sel'), (1, 'nobody of this name')) a(place, asked) WHERE NOT EXISTS (SELECT 1 FROM ps WHERE contains(lower(name), asked))"), person_names=("sel", "nobody of this name"))
 add(
     "tool_compare_persons",
     library.compare_persons,

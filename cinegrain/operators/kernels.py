@@ -221,3 +221,48 @@ def per_entity(df: DataFrame, entity: str, order: list[str], columns: list[str],
 
     rows = df.select(entity, *order, *columns).dropna(subset=[entity]).repartition(entity).sortWithinPartitions(entity, *order)
     return rows.mapInArrow(go, types.schema)
+
+
+def sliding(df: DataFrame, entity: str, order: str, columns: list[str], width: int, run: Callable, schema: str) -> DataFrame:
+    """(entity, order, ...): run({column: array}, begin, end) gives the columns of schema for the rows begin to end of a stretch of an entity's sequence that has up to `width` further rows on each side.
+
+    A task reads its entities in order and holds one batch and 2 * width rows, however long an entity is.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (entity, order)}
+    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # of one entity: rows that are done but still neighbours, then rows that wait
+        done, owner = 0, None
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, done
+            if held is None:
+                return
+            end = held.num_rows if last else held.num_rows - width
+            if end > done:
+                t = held.combine_chunks()
+                got = run({c: t.column(c).combine_chunks() for c in columns}, done, end)
+                part = t.slice(done, end - done)
+                yield pa.RecordBatch.from_arrays([part.column(entity).combine_chunks(), part.column(order).combine_chunks(), *got], names=[entity, order, *names])
+                keep = max(0, end - width)
+                held, done = t.slice(keep), end - keep
+            if last:
+                held, done = None, 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.column(entity).dictionary_encode().indices.to_numpy()
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            for s, e in zip(first, np.append(first[1:], b.num_rows)):
+                name = b.column(entity)[int(s)].as_py()
+                if held is not None and name != owner:
+                    yield from flush(True)
+                owner, part = name, pa.Table.from_batches([b.slice(int(s), int(e - s))])
+                held = part if held is None else pa.concat_tables([held, part])
+            yield from flush(False)
+        yield from flush(True)
+
+    rows = df.select(entity, order, *columns).dropna(subset=[entity]).repartition(entity).sortWithinPartitions(entity, order)
+    return rows.mapInArrow(go, f"{entity} {kinds[entity]}, {order} {kinds[order]}, {schema}")

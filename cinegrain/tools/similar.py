@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..operators import kernels
+from ..operators.frames import deduplicated
 from ..operators.taste import blended
 from ..operators.vectors import cosine
 from .base import tool, top
@@ -241,9 +242,9 @@ def _frames(columns: dict, width: int = 40) -> np.ndarray:
 
 @tool()
 def novelty(cat: Catalog, windows: tuple = (2, 15, 60), weights: tuple = (0.0, 1.0, 1.0)) -> DataFrame:
-    """The novelty of each frame over several windows; one pass over an item's frames in order."""
-    run = lambda _, c: [c["frame"], pa.array(np.round(novelty_of(_frames(c), windows, weights), 6) + 0.0)]
-    return kernels.per_entity(frame_vectors(cat), "item_id", ["frame"], ["v"], run, "frame int, novelty double")
+    """The novelty of each frame over several windows; one pass over the frames in order that holds as many neighbours as the widest window."""
+    run = lambda c, begin, end: [pa.array(np.round(novelty_of(_frames(c), windows, weights)[begin:end], 6) + 0.0)]
+    return kernels.sliding(frame_vectors(cat), "item_id", "frame", ["v"], max(windows), run, "novelty double")
 
 
 def chosen_frames(x: np.ndarray, seconds: np.ndarray, most: int, close: float = 0.9) -> np.ndarray:
@@ -338,15 +339,7 @@ def modulo_frames(cat: Catalog, k: int = 16) -> DataFrame:
 @tool()
 def frames_apart(cat: Catalog, most: float = 0.99, keep_first: int = 10) -> DataFrame:
     """Drops a frame that is as similar as `most` to the last one kept; the first keep_first frames stay."""
-
-    def run(_, c):
-        x, kept = _frames(c), []
-        for i in range(len(x)):
-            if i < keep_first or not kept or round(float(x[i] @ x[kept[-1]]), 6) < most:
-                kept.append(i)
-        return [c["frame"].take(pa.array(kept))]
-
-    return kernels.per_entity(frame_vectors(cat), "item_id", ["frame"], ["v"], run, "frame int")
+    return deduplicated(frame_vectors(cat), "item_id", "frame", "v", most, keep_first)
 
 
 @tool()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,40 @@ def test_representatives_equal_the_matrix():
         n = ((s >= 0.8) & open_).sum(axis=1)
         assert n[at] == n.max()
         open_ &= s[at] < 0.8
+
+
+def test_novelty_over_many_batches(spark, cat):
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    sizes = {1: 150, 2: 3, 5: 1, 7: 40}
+    x = {e: g.normal(size=(n, 40)) for e, n in sizes.items()}
+    df = spark.createDataFrame([(e, i, v.tolist()) for e, m in x.items() for i, v in enumerate(m)], "e long, i int, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    run = lambda c, begin, end: [pa.array(similar.novelty_of(kernels.unit_rows(c["v"], 40)[1], (2, 9), (1.0, 2.0))[begin:end])]
+    got = {(r.e, r.i): r.n for r in kernels.sliding(df, "e", "i", ["v"], 9, run, "n double").collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for e, m in x.items():
+        want = similar.novelty_of(m / np.linalg.norm(m, axis=1)[:, None], (2, 9), (1.0, 2.0))
+        assert np.allclose([got[e, i] for i in range(len(m))], want)
+
+
+def test_deduplication_over_many_batches(spark):
+    import numpy as np
+
+    from cinegrain.operators import frames
+
+    g = np.random.default_rng(4)
+    x = np.cumsum(g.normal(size=(300, 6)) * 0.2, axis=0) + 1
+    df = spark.createDataFrame([(i // 200, i, v.tolist()) for i, v in enumerate(x)] + [(0, 900, None), (0, 901, [0.0] * 6), (0, 902, [1.0])], "e long, i int, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    got = sorted(tuple(r) for r in frames.deduplicated(df, "e", "i", "v", 0.98, 3).collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    u, want = x / np.linalg.norm(x, axis=1)[:, None], []
+    for e, own in ((0, range(200)), (1, range(200, 300))):
+        last = None
+        for n, i in enumerate(own):
+            if n < 3 or round(float(u[i] @ u[last]), 6) < 0.98:
+                want.append((e, i))
+                last = i
+    assert got == want
