@@ -13,7 +13,8 @@ ambiguous mark counts if its name stands in several kinds of marks; a mark that
 quoted, or named as an example, is talk about templates.
 
 Whole pages are told by their sentences: a page is flagged if it has a sentence of
-an error, a notice or filler and nothing but such sentences and page furniture, or
+an error, a notice or filler and nothing but such sentences and page furniture, if it
+is nothing but made-up words over and over, or
 if it repeats, numbers aside, a page of other documents that has an error's signs: one
 whose first line is an error's or a status code, or that has a fifth of its words in such sentences,
 or a short one of which the numbers differ.
@@ -42,6 +43,8 @@ MARK_KINDS = 3
 SHARE = 0.2
 HEADING = 12
 SHORT = 600
+#: Of word salad: least words, and their greatest share of different ones; no language goes on so long without a word of three letters or fewer.
+SALAD_WORDS, SALAD_TYPES = 16, 0.75
 
 # ---- Fixed values: marks of template languages, default values, sentences of shells (folded: lower case, no accents).
 
@@ -213,6 +216,7 @@ LABEL = r"[^\W\d_][\w ]{0,30}:"
 _RUN = re.compile(rf"(?:{VALUE})(?:{JOINED}(?:{VALUE}))*")
 _DEFAULT_VALUE = re.compile(DEFAULTS + r"|\bN/A\b")
 _VARIABLE = re.compile(VARIABLE)
+_SHORT_WORD = re.compile(r"\b[^\W\d_]{1,3}\b|[^\x00-\x7f]|\d|,")
 _ANY_VALUE = re.compile(r"[\dA-Z#_]|  | [,.)]|undefined|null|nil|\( *\)")
 _LABEL = re.compile(LABEL)
 _STATUS = re.compile(rf"(?:[^\W\d_]+\W+){{0,2}}{STATUS}\b(?:\W+\w+){{1,7}}\W*")
@@ -334,11 +338,21 @@ def frames_of(text: str) -> list[tuple[str, list[tuple[str, str]]]]:
     return out
 
 
+def salad(low: str) -> bool:
+    """Whether a text is filler of made-up words: Latin letters only, no short word, number or comma, and the same words over and over."""
+    if _SHORT_WORD.search(low):
+        return False
+    found = _TOKEN.findall(low)
+    return len(found) >= SALAD_WORDS and len(set(found)) <= SALAD_TYPES * len(found)
+
+
 def page(text: str) -> tuple[bool, bool, bool]:
     """(a shell by its own sentences, has signs of one, one if it is repeated) for a folded text."""
     low = text.lower()
     top = low.lstrip(" \t\r\n-*>#|=").split("\n", 1)[0].strip(" \t\r-*>#|=")
     status = len(top) < 100 and bool(_STATUS.fullmatch(top))
+    if salad(low):
+        return True, True, True
     if not _HINT.search(low):
         return False, status, status
     known = other = cues = 0

@@ -268,3 +268,10 @@ def test_repeated_status_pages_of_an_unlisted_language(spark):
     texts = ["404 Stran ni bila najdena\nObrnite se na pomoc."] * 3 + ["404 frames were kept of the long walk along the river and the bridge"] * 3 + ["502 Stran"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     assert {r.id for r in shells.find_shells(df, "id", "text").collect()} == {0, 1, 2}
+
+
+def test_word_salad_is_filler():
+    assert shells.page(shells.fold("Dolam ferra dolam mirab ferra quast. " * 4))[0]
+    assert not shells.page(shells.fold("Jede runde Weberin misst diesen Pfahl, bevor jede leichte Lehrerin jenen Brunnen findet. " * 3))[0]
+    assert not shells.page(shells.fold("Kettle ladder raft goat " * 3))[0]  # too few words
+    assert not shells.page("雨のあとで橋を磨く。" * 20)[0]
