@@ -221,8 +221,12 @@ def text_weeks(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH p AS (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events GROUP BY 1) SELECT user_id, array_to_string(list_slice(l, 1, 5), ', ') || CASE WHEN len(l) > 5 THEN ' ... and ' || (len(l) - 5)::VARCHAR || ' more' ELSE '' END AS line FROM p")
 def text_shortened(spark: SparkSession, d: str) -> DataFrame:
     """The first five event types of a user and how many more."""
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("l"))
-    return rows.select("user_id", fn.shortened(F.col("l")).alias("line"))
+    from pyspark.sql import Window
+
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    five = e.withColumn("place", place).where("place <= 5").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "event_type"))), lambda x: x["event_type"]).alias("l"))
+    return five.join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id").select("user_id", fn.shortened(F.col("l"), 5, F.col("n")).alias("line"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i), ' ') AS links, CASE WHEN length(t) > 200 THEN t[:200] || '…' ELSE t END AS cut, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM (SELECT doc_id, t, list_transform(regexp_extract_all(t, '(?i)<a\\b[^>]*?href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1), lambda x: replace(x, '&amp;', '&')) AS u FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")

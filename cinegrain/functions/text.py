@@ -39,9 +39,9 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?href\s*=\s*["']([^"']+)["']"""), 1), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))))
 
 
-def shortened(items: Column, most: int = 5) -> Column:
-    """An array as text, cut to `most` with the number of the rest."""
-    rest = F.size(items) - most
+def shortened(items: Column, most: int = 5, total: Column | None = None) -> Column:
+    """An array as text, cut to `most` with the number of the rest; total: how many there are, if the array has only the first."""
+    rest = (F.size(items) if total is None else total) - most
     return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(rest > 0, F.concat(F.lit(" ... and "), rest.cast("string"), F.lit(" more"))).otherwise(""))
 
 

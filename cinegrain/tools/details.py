@@ -237,11 +237,14 @@ def frame_counts_summary(cat: Catalog, fps: float = 1.0) -> DataFrame:
 def item_context(cat: Catalog) -> DataFrame:
     """How many people an item has, how many different tags these people's items have, and how many tags of its own."""
     person_tags = cat.item_persons.join(cat.item_tags, "item_id").select("person_id", "tag_id").distinct()
-    union = cat.item_persons.join(person_tags, "person_id").select("item_id", "tag_id").distinct().groupBy("item_id").agg(F.count("*").alias("person_tags"))
-    people = cat.item_persons.groupBy("item_id").agg(F.count("*").alias("people"))
+    # The union is made once for each set of people, not for each item, so a person with many items costs no more.
+    casts = cat.item_persons.groupBy("item_id").agg(F.array_sort(F.collect_set("person_id")).alias("set")).withColumn("key", F.struct(F.xxhash64("set").alias("x"), F.xxhash64(F.lit(1), "set").alias("y")))
+    sets = casts.groupBy("key").agg(F.first("set").alias("set")).select("key", F.explode("set").alias("person_id"))
+    unions = sets.join(person_tags, "person_id").select("key", "tag_id").distinct().groupBy("key").agg(F.count("*").alias("person_tags"))
+    union = casts.join(unions, "key", "left").select("item_id", F.size("set").cast("bigint").alias("people"), "person_tags")
     own = cat.item_tags.groupBy("item_id").agg(F.count("*").alias("own_tags"))
     rows = cat.items.select(F.col("id").alias("item_id"))
-    for part in (people, union, own):
+    for part in (union, own):
         rows = rows.join(part, "item_id", "left")
     return rows.select("item_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("people", "person_tags", "own_tags")])
 

@@ -63,7 +63,8 @@ def similar_without_shared(cat: Catalog, every: int = 100, limit: int = 10, min_
     rows = item_vectors(cat)
     near = kernels.scored(rows, ["item_id"], "v", _queries(rows, every), "query_id", "q", kernels.pairs_from(min_similarity, ordered=False), "item_id long, query_id long, similarity double")
     a = cat.item_persons.where(F.col("item_id") % every == 0).select(F.col("item_id").alias("query_id"), "person_id")
-    shared = a.join(cat.item_persons, "person_id").select("query_id", "item_id").distinct()
+    # Only near pairs are looked up, so a person with many items makes no pairs of them.
+    shared = near.select("query_id", "item_id").join(a, "query_id").join(cat.item_persons, ["item_id", "person_id"], "left_semi").select("query_id", "item_id").distinct()
     left = near.join(shared, ["query_id", "item_id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item_id")
     placed = left.withColumn("place", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
