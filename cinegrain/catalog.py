@@ -46,17 +46,18 @@ class Catalog:
     def today(self) -> Column:
         return F.lit(self.as_of).cast("date")
 
-    @cached_property
-    def _library(self) -> DataFrame:
-        return newest(self.table("sample_library").drop("exported_at"), ["id"], "updated_at")
+    def _current(self, *columns: str) -> DataFrame:
+        """id, the columns and updated_at of the current items; no other column is read."""
+        return newest(self.table("sample_library").select("id", *columns, "updated_at"), ["id"], "updated_at")
 
     @cached_property
     def items(self) -> DataFrame:
         """id, title, plays, peaks, rating, organized, org_id, created_at, updated_at."""
-        return self._library.select("id", "title", counted(F.col("play_count")).alias("plays"), counted(F.col("o_counter")).alias("peaks"), F.col("rating100").alias("rating"), F.coalesce("organized", F.lit(False)).alias("organized"), F.col("studio_id").alias("org_id"), "created_at", "updated_at")
+        rows = self._current("title", "play_count", "o_counter", "rating100", "organized", "studio_id", "created_at")
+        return rows.select("id", "title", counted(F.col("play_count")).alias("plays"), counted(F.col("o_counter")).alias("peaks"), F.col("rating100").alias("rating"), F.coalesce("organized", F.lit(False)).alias("organized"), F.col("studio_id").alias("org_id"), "created_at", "updated_at")
 
     def _bridge(self, column: str, name: str) -> DataFrame:
-        each = self._library.select(F.col("id").alias("item_id"), F.explode(column).alias("x"))
+        each = self._current(column).select(F.col("id").alias("item_id"), F.explode(column).alias("x"))
         return each.select("item_id", F.col("x.id").alias(name)).where(F.col(name).isNotNull()).distinct()
 
     @cached_property
@@ -72,7 +73,7 @@ class Catalog:
     @cached_property
     def files(self) -> DataFrame:
         """item_id, nth (0 is the primary file), path, size, duration."""
-        return self._library.select(F.col("id").alias("item_id"), F.posexplode("files").alias("nth", "f")).where(F.col("f").isNotNull()).select("item_id", "nth", "f.path", "f.size", "f.duration")
+        return self._current("files").select(F.col("id").alias("item_id"), F.posexplode("files").alias("nth", "f")).where(F.col("f").isNotNull()).select("item_id", "nth", "f.path", "f.size", "f.duration")
 
     @cached_property
     def primary(self) -> DataFrame:
@@ -80,11 +81,11 @@ class Catalog:
 
     @cached_property
     def tags(self) -> DataFrame:
-        return newest(self.table("tags"), ["id"], "updated_at")
+        return newest(self.table("tags").select("id", "name", "favorite", "updated_at"), ["id"], "updated_at")
 
     @cached_property
     def persons(self) -> DataFrame:
-        return newest(self.table("performers"), ["id"], "updated_at")
+        return newest(self.table("performers").select("id", "name", "disambiguation", "birthdate", "country", "favorite", "rating", "updated_at"), ["id"], "updated_at")
 
     @cached_property
     def orgs(self) -> DataFrame:
