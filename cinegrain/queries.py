@@ -181,6 +181,17 @@ SQL = {name: _check_text(text) for name, text in PLANS.items()} | {
     "pref_scores": "WITH " + _WARM + ", e AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, round(sum(v * mean), 6) AS score, round(sqrt(sum(4 * v * v)), 6) AS sigma FROM e JOIN m USING (pos) GROUP BY 1",
     "similar_topk": "SELECT q_key, vec_id, similarity, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY similarity DESC, vec_id) AS place FROM (SELECT b.vec_id AS q_key, a.vec_id, " + _COS.format(a="a.embedding", b="b.embedding") + " AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) WHERE place <= 10",
 }
+# The flagship's scores once more in SQL of their own: event by event, with correlated counts in place of a joined log.
+_PER_ITEM = """WITH m(segment, rating) AS (VALUES ('BUILDING', 100), ('AUTOMOBILE', 80), ('MACHINERY', 60), ('HOUSEHOLD', 40)),
+i AS (SELECT c_custkey AS id, rating, (SELECT count(*) FROM events WHERE user_id = c_custkey AND event_type = 'view') AS views, (SELECT count(*) FROM events WHERE user_id = c_custkey AND event_type = 'purchase') AS peaks,
+ (SELECT max(ts) FROM events WHERE user_id = c_custkey AND event_type = 'view') AS seen FROM customer LEFT JOIN m ON segment = c_mktsegment),
+x AS (SELECT *, 20 * peaks + CASE WHEN views > 1 THEN 2 * (views - 1) ELSE 0 END AS plain, (epoch(TIMESTAMP '2024-01-31') - floor(epoch(seen))) / 86400 AS days FROM i),
+y AS (SELECT *, plain + CASE WHEN rating IS NOT NULL THEN rating / 20 * 1.5 ELSE 0 END AS score FROM x) """
+SQL |= {
+    "engagement_rank": _PER_ITEM + "SELECT id, views, peaks, coalesce(rating, -1) AS rating, round(score, 6)::DOUBLE AS score FROM y ORDER BY score DESC, id LIMIT 20",
+    "engagement_rank_decayed": _PER_ITEM + "SELECT id, round(score * CASE WHEN seen IS NULL THEN 0.1 WHEN power(0.5, days / 30) < 0.1 THEN 0.1 ELSE power(0.5, days / 30) END, 6)::DOUBLE AS score FROM y ORDER BY score DESC, id LIMIT 20",
+    "engagement_modes": _PER_ITEM + "SELECT id, plain::BIGINT AS favorites, round(plain * power(0.5, CASE WHEN seen IS NULL THEN 0 ELSE floor(days) / 30 END), 6)::DOUBLE AS recent, CASE WHEN views > 0 THEN round(peaks / views, 6) END AS intensity FROM y WHERE views > 0 OR peaks > 0",
+}
 for _module in (library, details, similar, recommend_checks, data_checks):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
