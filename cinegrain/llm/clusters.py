@@ -8,16 +8,14 @@ node and side in every task before the shuffle. Once a node fits a task, its row
 and the splitting goes on inside, all nodes of a level at once, down to the compact
 leaves. The leaves are the candidates for groups.
 
-A split may cut through a group, so the leaves' borders are tested exactly. Rows
-within a margin of the plane between two centres also visit the other side, and go on
-there with twice the margin. Of two similar rows the one nearer to the plane that
-parts them is at most half their distance from it, and no plane after that is further
-than their distance, so it ends in the other's own node. There each row
-learns the number, the smallest id and a fingerprint of the rows that are similar to
+A split may cut through a group, so the leaves only say which rows stand for one: every two
+blocks of rows are compared exactly, by the centres of their compact leaves first. The blocks
+are stored once and read by the tasks that compare them, so the disk doesn't grow faster than the rows.
+There each row learns the number, the smallest id and a fingerprint of the rows that are similar to
 it. A leaf whose rows know each other and nobody else is a group; of the leaves that
 a plane cut from each other, rows with the same neighbours, as many as there are, are one.
 
-Rows near the centre of a compact node, within half of the allowed angle, are all
+Rows near the centre of a compact node of many rows, within half of the allowed angle, are all
 similar to each other without being compared, so a group that holds a third of all
 rows is linear work.
 """
@@ -29,17 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import stored
 from .tables import DIMENSIONS, unit, usable_rows
 
-#: Rows of a node that isn't compact up to which one task goes on splitting it, rows stored in one block of a compact one, Lloyd steps.
-LEAF = 16_384
-BLOCK = 16_384
+#: Rows of a node that isn't compact up to which one task goes on splitting it: least and most, Lloyd steps, axes that are compared first, the cell of a row that doesn't tell.
+LEAST_LEAF, LEAF = 4_096, 65_536
 STEPS = 2
+HEAD = 24
+NO_CELL = -(1 << 62)
+
+
+def leaf_rows(rows: int) -> int:
+    """An eighth of the rows within LEAST_LEAF and LEAF."""
+    return max(LEAST_LEAF, min(LEAF, rows // 8))
 
 
 class Tree:
@@ -75,43 +78,6 @@ class Tree:
                 node[todo] = self.child[at, side.astype(np.int64)]
         return node
 
-    def path_to(self, leaf: np.ndarray) -> np.ndarray:
-        """The parents of leaves, one column per level up, -1 beyond the root."""
-        parent = np.full(len(self.offset), -1, dtype=np.int64)
-        inner = np.flatnonzero(self.child[:, 0] >= 0)
-        parent[self.child[inner].ravel()] = np.repeat(inner, 2)
-        levels = [parent[leaf]]
-        while (levels[-1] >= 0).any():
-            levels.append(np.where(levels[-1] >= 0, parent[levels[-1]], -1))
-        return np.array(levels).T
-
-    def reaches(self, x: np.ndarray, leaf: np.ndarray, margin: float) -> np.ndarray:
-        """Whether each row is in its leaf or visits it: the first plane that has the row on the wrong side is within margin, later ones within twice that."""
-        ok, crossed = np.ones(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
-        path = np.column_stack([leaf, self.path_to(leaf)])
-        for node, below in zip(path.T[:0:-1], path.T[-2::-1]):  # from the root down
-            at = np.maximum(node, 0)
-            away = np.einsum("ij,ij->i", x, self.plane[at]) - self.offset[at]
-            wrong = (node >= 0) & ((away > 0) != (self.child[at, 1] == below))
-            ok &= ~wrong | (np.abs(away) <= np.where(crossed, 2 * margin, margin))
-            crossed |= wrong
-        return ok
-
-    def visits(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, home): every row in its own leaf, and in those beyond a plane that is at most `margin` away, or twice that if it has left its own side before."""
-        row, node, home = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.ones(len(x), dtype=bool)
-        done: list[tuple] = []
-        while len(row):
-            at_leaf = self.child[node, 0] < 0
-            done.append((row[at_leaf], node[at_leaf], home[at_leaf]))
-            row, node, home = row[~at_leaf], node[~at_leaf], home[~at_leaf]
-            away = np.einsum("ij,ij->i", x[row], self.plane[node]) - self.offset[node]
-            side = (away > 0).astype(np.int64)
-            both = np.abs(away) <= np.where(home, margin, 2 * margin)
-            row, home = np.concatenate([row, row[both]]), np.concatenate([home, np.zeros(both.sum(), dtype=bool)])
-            node = np.concatenate([self.child[node, side], self.child[node[both], 1 - side[both]]])
-        return tuple(np.concatenate(parts) for parts in zip(*done)) if done else (row, node, home)
-
 
 def _node_sums(rows: DataFrame, tree: Tree, split: dict[int, tuple[np.ndarray, float]]) -> dict[tuple[int, int], tuple]:
     """{(node, side): (n, sum, sum of squares)} of the rows in the nodes of `split`, each cut by its plane."""
@@ -165,7 +131,7 @@ def summed(parts: DataFrame, width: int) -> DataFrame:
     return parts.repartition("key").mapInArrow(add, "key long, n long, s array<double>")
 
 
-def bisect(rows: DataFrame, least: float, leaf: int = LEAF, steps: int = STEPS) -> Tree:
+def bisect(rows: DataFrame, least: float, leaf: int | None = None, steps: int = STEPS) -> Tree:
     """The upper tree over all rows' unit vectors (column v). Only planes and sums come to the driver: some 40 numbers for each `leaf` rows.
 
     A node is split while it has more than `leaf` rows and isn't compact: its mean
@@ -178,6 +144,7 @@ def bisect(rows: DataFrame, least: float, leaf: int = LEAF, steps: int = STEPS)
         return tree
     n, s, q = (sum(x) for x in zip(*start.values()))
     tree.count[0], tree.mean[0] = n, s / n
+    leaf = leaf_rows(int(n)) if leaf is None else leaf
     stats = {0: (n, s, q)}
     active = [0]
     while active:
@@ -272,122 +239,227 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))).astype(np.int64)
 
 
-def _spread(tree: Tree, margin: float, least: float, block: int):
-    """Rows for the leaves' blocks: role 0 stored core, 1 stored and asking, 2 asking."""
+class Blocks:
+    """The blocks of at most some `block` rows: neighbouring small leaves share one, a large leaf has several."""
+
+    def __init__(self, tree: Tree, block: int):
+        self.first, self.several = np.zeros(len(tree.offset), dtype=np.int64), np.ones(len(tree.offset), dtype=np.int64)
+        self.number = filled = 0
+        todo = [0]
+        while todo:  # the leaves from left to right
+            node = todo.pop()
+            if tree.child[node, 0] >= 0:
+                todo += tree.child[node, ::-1].tolist()
+                continue
+            n = int(tree.count[node])
+            if not self.number or filled + n > block:
+                self.first[node], self.several[node] = self.number, max(1, -(-n // block))
+                self.number += int(self.several[node])
+                filled = n if n <= block else block
+            else:
+                self.first[node], filled = self.number - 1, filled + n
+
+
+def _core_of(tree: Tree, x: np.ndarray, leaf: np.ndarray, least: float, block: int) -> np.ndarray:
+    """Whether each row is in a leaf of more than `block` rows, within half the allowed angle of its centre: such rows are all similar."""
     near = math.cos(math.acos(least) / 2) + 1e-9
-    length = np.linalg.norm(tree.mean, axis=1, keepdims=True)
-    centre = tree.mean / np.where(length > 0, length, 1)
+    core = tree.count[leaf] > block
+    if core.any():
+        centre = tree.mean[leaf[core]]
+        long = np.sqrt(np.einsum("ij,ij->i", centre, centre))
+        core[core] = np.einsum("ij,ij->i", x[core], centre) >= near * np.where(long > 0, long, np.inf)
+    return core
+
+
+def _spread(tree: Tree, least: float, block: int):
+    """Each row's block and, for a core row, its leaf, else -1."""
+    blocks = Blocks(tree, block)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = unit(usable_rows(b.column("v"))[1])
-            row, leaf, home = tree.visits(x, margin)
-            core = home & (np.einsum("ij,ij->i", x[row], centre[leaf]) >= near)
-            blocks = np.maximum(1, -(-tree.count[leaf] // block))
-            own = (_mix(b.column("id").to_numpy()[row]) & 0x7FFFFFFF) % blocks
-            times = np.where(core, 1, blocks)  # a core row is stored and asks nothing here
-            at = np.repeat(np.arange(len(row)), times)
-            nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            nth = np.where(core[at], own[at], nth)
-            role = np.where(core[at], 0, np.where(home[at] & (nth == own[at]), 1, 2))
-            for s in range(0, len(at), 20_000):
-                e = slice(s, s + 20_000)
-                taken = b.take(pa.array(row[at[e]]))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[at[e]]), pa.array(nth[e].astype(np.int32)), pa.array(role[e].astype(np.int32)), taken.column("id"), taken.column("v"), pa.array(home[at[e]])], names=["leaf", "blk", "role", "id", "v", "own"])
+            if b.num_rows:
+                x = unit(usable_rows(b.column("v"))[1])
+                leaf = tree.leaf_of(x)
+                blk = blocks.first[leaf] + (_mix(b.column("id").to_numpy()) & 0x7FFFFFFF) % blocks.several[leaf]
+                core = np.where(_core_of(tree, x, leaf, least, block), leaf, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(blk), pa.array(core), b.column("id"), b.column("v")], names=["blk", "core", "id", "v"])
 
     return spread
 
 
-def _neighbours(tree: Tree, margin: float, least: float, blocks: int):
-    """Of each block: what the asking rows find among the stored ones, themselves included, and the leaf of each stored row.
+def _packed(least: float):
+    """One row for each block: its rows by cell, as bytes. A cell is one core or a compact leaf of the other rows."""
 
-    blocks: rows of a node from which it has several blocks; such a node is compact and a leaf as it is.
-    """
-
-    def found(ids: np.ndarray, others: np.ndarray, q: np.ndarray, h: np.ndarray) -> list:
-        """(id, n, smallest, print) of the pairs q, h; q sorted."""
-        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-        hit = others[h]
-        return [ids[q[first]], np.diff(np.append(first, len(q))), np.minimum.reduceat(hit, first), np.bitwise_xor.reduceat(_mix(hit), first), np.full(len(first), -1)]
-
-    class Stored:
-        """The stored rows of a block and what is found among them; asking rows come batch by batch."""
-
-        def __init__(self, key: tuple[int, int]):
-            self.key, self.parts, self.ids = key, [], None
-
-        def opened(self) -> list:
-            """Once all stored rows are there: their leaves, and what they find among each other."""
-            if self.ids is not None or not self.parts:
-                return []
-            t = pa.Table.from_batches(self.parts).combine_chunks()
-            self.parts, self.ids = [], t.column("id").to_numpy()
-            self.x = unit(usable_rows(t.column("v"))[1])
-            self.x32, self.core = self.x.astype(np.float32), t.column("role").to_numpy() == 0
-            top, none = self.key[0], np.zeros(len(self.ids), dtype=np.int64)
-            cell = compact_leaves(self.x, least) if tree.count[top] <= blocks else none
-            asking = np.flatnonzero(~self.core)
-            return [(self.ids, none, self.ids, none, (top << 32) + cell), *self.asked(self.ids[asking], self.x[asking], np.ones(len(asking), dtype=bool))]
-
-        def asked(self, ids: np.ndarray, x: np.ndarray, own: np.ndarray) -> list:
-            """What asking rows find; own: whether a row's own leaf this is."""
-            out, step, x32 = [], max(1, 4_000_000 // len(self.ids)), x.astype(np.float32)
-            for s in range(0, len(ids), step):
-                near = x32[s : s + step] @ self.x32.T
-                q, h = np.divmod(np.flatnonzero(near.ravel() >= least - 1e-5), len(self.ids))
-                doubt = near[q, h] < least + 1e-5
-                q += s
-                if doubt.any():
-                    exact = np.einsum("ij,ij->i", x[q[doubt]], self.x[h[doubt]]) >= least - 1e-12
-                    sure = np.ones(len(q), dtype=bool)
-                    sure[np.flatnonzero(doubt)[~exact]] = False
-                    q, h = q[sure], h[sure]
-                if not len(q):
-                    continue
-                out.append(found(ids, self.ids, q, h))
-                # A core row doesn't ask: it hears from the leaf's own rows that reach it.
-                # A stored row also hears from a visitor whose leaf it doesn't visit itself.
-                heard = self.core[h] & own[q]
-                cross = np.flatnonzero(~own[q])
-                if len(cross):
-                    heard[cross] = ~tree.reaches(self.x[h[cross]], tree.leaf_of(x[q[cross]]), margin)
-                if heard.any():
-                    order = np.argsort(h[heard], kind="stable")
-                    out.append(found(self.ids, ids, h[heard][order], q[heard][order]))
-            return out
-
-    def packed(parts: list) -> Iterator[pa.RecordBatch]:
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=["id", "n", "least", "print", "cell"])
+    def pack(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        core, ids, v = t.column("core").to_numpy(), t.column("id").to_numpy(), usable_rows(t.column("v"))[1]
+        cell, own = -1 - core, np.flatnonzero(core < 0)
+        cell[own] = compact_leaves(unit(v[own]), least)
+        order = np.argsort(cell, kind="stable")
+        values = (t.column("blk").to_numpy()[:1], *([x[order].tobytes()] for x in (ids, v, cell, core)))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, (pa.int64(), *[pa.binary()] * 4))], names=["blk", "ids", "v", "cell", "core"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here: Stored | None = None
+        parts, last = [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            leaf, blk, visits = b.column("leaf").to_numpy(), b.column("blk").to_numpy(), b.column("role").to_numpy() == 2
-            starts = np.flatnonzero(np.append(True, (leaf[1:] != leaf[:-1]) | (blk[1:] != blk[:-1]) | (visits[1:] != visits[:-1])))
-            for s, e in zip(starts, np.append(starts[1:], b.num_rows)):
-                key, part = (int(leaf[s]), int(blk[s])), b.slice(int(s), int(e - s))
-                if here is None or here.key != key:
-                    if here is not None:
-                        yield from packed(here.opened())
-                    here = Stored(key)
-                if not visits[s]:
-                    here.parts.append(part)
-                    continue
-                yield from packed(here.opened())
-                if here.ids is not None:  # else nobody is at home
-                    yield from packed(here.asked(part.column("id").to_numpy(), unit(usable_rows(part.column("v"))[1]), part.column("own").to_numpy(zero_copy_only=False)))
-        if here is not None:
-            yield from packed(here.opened())
+            blk = b.column("blk").to_numpy()
+            starts = np.flatnonzero(np.append(True, blk[1:] != blk[:-1]))
+            for s, e in zip(starts.tolist(), np.append(starts[1:], b.num_rows).tolist()):
+                if parts and last != blk[s]:
+                    yield pack(parts)
+                    parts = []
+                parts, last = [*parts, b.slice(s, e - s)], blk[s]
+        if parts:
+            yield pack(parts)
 
     return run
 
 
-def similar_groups(rows: DataFrame, least: float = 0.9, smallest: int = 3, leaf: int = LEAF, margin: float | None = None, block: int = BLOCK, tree: Tree | None = None) -> DataFrame:
+class Block:
+    """A block's rows, its cells by their angle from the centre to the furthest row, and what is found of the rows."""
+
+    def __init__(self, number: int, ids: bytes, v: bytes, cell: bytes, core: bytes):
+        self.number, self.ids = number, np.frombuffer(ids, dtype=np.int64)
+        self.v, self.cell = np.frombuffer(v, dtype=np.float32).reshape(-1, DIMENSIONS), np.frombuffer(cell, dtype=np.int64)
+        self.hash = _mix(self.ids)
+        x = self.v / np.abs(self.v).max(axis=1, keepdims=True)  # single precision is enough for centres
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        first = np.flatnonzero(np.append(True, self.cell[1:] != self.cell[:-1]))
+        n = np.diff(np.append(first, len(self.ids)))
+        mean = np.add.reduceat(x, first)
+        mean /= np.maximum(np.sqrt(np.einsum("ij,ij->i", mean, mean)), 1e-30)[:, None]
+        cos = np.minimum.reduceat(np.einsum("ij,ij->i", x, np.repeat(mean, n, axis=0)), first)
+        wide = np.where(n == 1, 0, np.arccos(np.clip(cos.astype(np.float64) - 5e-6, -1, 1)))
+        order = np.argsort(wide, kind="stable")
+        self.start, self.size, self.wide = first[order], n[order], wide[order]
+        self.core = np.frombuffer(core, dtype=np.int64)[self.start]
+        self.centre = mean[order]
+        self.forget()
+
+    def forget(self) -> None:
+        self.n, self.print = np.zeros(len(self.ids), dtype=np.int64), np.zeros(len(self.ids), dtype=np.int64)
+        self.least = np.full(len(self.ids), np.iinfo(np.int64).max)
+
+    def hears(self, rows: np.ndarray, other: Block, hit: np.ndarray) -> None:
+        """The rows find the other block's rows `hit`."""
+        order = np.argsort(rows, kind="stable")
+        rows, hit = rows[order], hit[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        at = rows[first]
+        self.n[at] += np.diff(np.append(first, len(rows)))
+        self.least[at] = np.minimum(self.least[at], np.minimum.reduceat(other.ids[hit], first))
+        self.print[at] ^= np.bitwise_xor.reduceat(other.hash[hit], first)
+
+    def itself(self) -> None:
+        """Rows of one cell find each other and themselves, but for cores: those are summed over all blocks of a leaf."""
+        first, n = self.start, self.size
+        order = np.argsort(first)
+        first, n, core = first[order], n[order], self.core[order]
+        own = np.repeat(core < 0, n)
+        self.n += np.where(own, np.repeat(n, n), 0)
+        self.least = np.where(own, np.minimum(self.least, np.repeat(np.minimum.reduceat(self.ids, first), n)), self.least)
+        self.print ^= np.where(own, np.repeat(np.bitwise_xor.reduceat(self.hash, first), n), 0)
+
+    def found(self, whole: bool) -> pa.RecordBatch:
+        """(id, n, least, print, cell) of the rows that found any, of all if whole; only then with their cell."""
+        at = np.arange(len(self.ids)) if whole else np.flatnonzero(self.n)
+        cell = np.where(self.cell[at] < 0, self.cell[at], (self.number << 32) + self.cell[at]) if whole else np.full(len(at), NO_CELL)
+        return pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (self.ids, self.n, self.least, self.print)] + [pa.array(cell)], names=["id", "n", "least", "print", "cell"])
+
+
+def _meet(a: Block, b: Block, least: float, angle: float, rows: int = 1024) -> None:
+    """Each two similar rows of the blocks, or of two cells of one, find each other.
+
+    Rows of two cells can be within `angle` only if the centres are within that and
+    the cells' own angles, so the centres are compared first; of these the coordinates
+    along the widest axes, where the rest counts as its lengths' product, the most it can add.
+    """
+    same = a is b
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> None:
+        ok = np.einsum("ij,ij->i", unit(a.v[i]), unit(b.v[j])) >= least - 1e-12
+        i, j = i[ok], j[ok]
+        if len(i):
+            a.hears(i, b, j)
+            b.hears(j, a, i)
+
+    def large(q: int, h: int) -> None:
+        """All rows of two cells of many rows."""
+        right = slice(b.start[h], b.start[h] + b.size[h])
+        y, step = unit(b.v[right]).astype(np.float32).T, max(1, 2_000_000 // int(b.size[h]))
+        for s in range(int(a.start[q]), int(a.start[q] + a.size[q]), step):
+            e = min(s + step, int(a.start[q] + a.size[q]))
+            near = unit(a.v[s:e]).astype(np.float32) @ y
+            i, j = np.divmod(np.flatnonzero(near.ravel() >= least - 1e-5), near.shape[1])
+            for k in range(0, len(i), 100_000):
+                pairs(i[k : k + 100_000] + s, j[k : k + 100_000] + right.start)
+
+    basis = np.linalg.eigh((a.centre.T @ a.centre + b.centre.T @ b.centre).astype(np.float64))[1][:, ::-1].astype(np.float32)
+    heads = []
+    for c in (a.centre, b.centre):
+        y = c @ basis
+        y[:, HEAD] = np.sqrt(np.einsum("ij,ij->i", y[:, HEAD:], y[:, HEAD:]))
+        heads.append(np.ascontiguousarray(y[:, : HEAD + 1]))
+    room = np.empty(rows * rows, dtype=np.float32)
+    for s in range(0, len(a.start), rows):
+        left, wide = heads[0][s : s + rows], a.wide[s : s + rows][-1] + angle
+        for t in range(s if same else 0, len(b.start), rows):
+            right = heads[1][t : t + rows]
+            near = np.matmul(left, right.T, out=room[: len(left) * len(right)].reshape(len(left), len(right)))
+            least_near = math.cos(min(math.pi, wide + b.wide[t : t + rows][-1])) - 1e-5
+            some = np.flatnonzero(near.max(axis=1) >= least_near)
+            if not len(some):
+                continue
+            q, h = np.divmod(np.flatnonzero((near if len(some) == len(near) else near[some]).ravel() >= least_near), near.shape[1])
+            q, h = some[q] + s, h + t
+            ok = np.einsum("ij,ij->i", a.centre[q], b.centre[h]) >= np.cos(np.minimum(np.pi, angle + a.wide[q] + b.wide[h])) - 1e-5
+            q, h = q[ok], h[ok]
+            if same:
+                q, h = q[q < h], h[q < h]
+            ok = (a.core[q] < 0) | (a.core[q] != b.core[h])
+            q, h = q[ok], h[ok]
+            n = a.size[q] * b.size[h]
+            for k in np.flatnonzero(n > 65_536).tolist():
+                large(int(q[k]), int(h[k]))
+            q, h = q[n <= 65_536], h[n <= 65_536]
+            n = a.size[q] * b.size[h]
+            done = np.cumsum(n)
+            cuts = np.searchsorted(done, np.arange(0, int(done[-1]) if len(n) else 0, 65_536), side="left")
+            for u, w in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)]):
+                if u < w:
+                    many = n[u:w]
+                    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                    across = np.repeat(b.size[h[u:w]], many)
+                    pairs(np.repeat(a.start[q[u:w]], many) + nth // across, np.repeat(b.start[h[u:w]], many) + nth % across)
+
+
+def _neighbours(least: float, angle: float):
+    """What the rows of two blocks find of each other, of a block and itself what they find in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: Block | None = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = [batch.column(i)[k] for i in range(10)]
+                own = one[0].as_py() == one[5].as_py()
+                made = [None if number.as_py() is None else (number.as_py(), *(x.as_buffer() for x in rest)) for number, *rest in (one[:5], one[5:])]
+                if a is None or a.number != made[0][0]:
+                    a = Block(*made[0])
+                a.forget()
+                if own:
+                    a.itself()
+                b = a if own else Block(*made[1])
+                _meet(a, b, least, angle)
+                yield a.found(own)
+                if not own:
+                    yield b.found(False)
+
+    return run
+
+
+def similar_groups(rows: DataFrame, least: float = 0.9, smallest: int = 3, leaf: int | None = None, margin: float | None = None, block: int | None = None, tree: Tree | None = None) -> DataFrame:
     """(cluster_id, id): the groups of at least `smallest` rows, each two similar by cosine >= least, that no other row reaches.
 
     rows has a unique id and a usable vector v per row (see vector_rows.usable);
@@ -395,16 +467,25 @@ def similar_groups(rows: DataFrame, least: float = 0.9, smallest: int = 3, leaf:
     out; equal vectors are similar; an empty table gives no rows.
 
     The default margin, sqrt((1 - least) / 2), is half the greatest distance of two similar
-    rows and finds every similar pair; a smaller one misses some.
+    rows and finds every similar pair; a smaller one may miss some. leaf is the tree's, block the most rows that are packed as one;
+    both are by default an eighth of the rows within bounds.
     """
     margin = math.sqrt((1 - least) / 2) + 1e-9 if margin is None else margin
     tree = bisect(rows, least, leaf) if tree is None else tree
-    placed = rows.select("id", "v").mapInArrow(_spread(tree, margin, least, block), "leaf long, blk int, role int, id long, v array<float>, own boolean")
-    asked = placed.repartition("leaf", "blk").sortWithinPartitions("leaf", "blk", "role").mapInArrow(_neighbours(tree, margin, least, block), "id long, n long, least long, print long, cell long")
-    core = rows.select("id", "v").mapInArrow(_core(tree, least), "id long, leaf long, h long")
-    cores = core.groupBy("leaf").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.bit_xor("h").alias("print"))
-    heard = core.select("id", "leaf").join(cores, "leaf").select("id", "n", "least", "print", F.lit(-1).cast("bigint").alias("cell"))
-    each = asked.unionByName(heard).groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.bit_xor("print").alias("print"), F.max("cell").alias("cell"))
+    block = leaf_rows(int(tree.count[0])) if block is None else block
+    placed = rows.select("id", "v").mapInArrow(_spread(tree, least, block), "blk long, core long, id long, v array<float>")
+    parts = placed.repartition("blk").sortWithinPartitions("blk").mapInArrow(_packed(least), "blk long, ids binary, v binary, cell binary, core binary")
+    left = stored(parts, "blocks", maxRecordsPerFile=1)
+    right = left.select(*[F.col(c).alias(f"{c}_b") for c in left.columns])
+    # Each two blocks once, as often from the left as from the right: no shuffle, each task reads some blocks of either side.
+    even, order = (F.col("blk") + F.col("blk_b")) % 2 == 0, F.col("blk") < F.col("blk_b")
+    two = left.join(right.hint("shuffle_replicate_nl"), (F.col("blk") == F.col("blk_b")) | ((F.col("blk") != F.col("blk_b")) & (even == order)))
+    each = two.mapInArrow(_neighbours(least, 2 * math.asin(min(1, margin))), "id long, n long, least long, print long, cell long")
+    if (tree.count[tree.child[:, 0] < 0] > block).any():
+        core = rows.select("id", "v").mapInArrow(_core(tree, least, block), "id long, leaf long, h long")
+        cores = core.groupBy("leaf").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.bit_xor("h").alias("print"))
+        each = each.unionByName(core.select("id", "leaf").join(cores, "leaf").select("id", "n", "least", "print", F.lit(NO_CELL).cast("bigint").alias("cell")))
+    each = each.groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.bit_xor("print").alias("print"), F.max("cell").alias("cell"))
     each = stored(each, "neighbours")
     # A leaf is a group if all its rows have the same neighbours, as many as the leaf has rows.
     key = ["least", "n", "print"]
@@ -419,14 +500,16 @@ def similar_groups(rows: DataFrame, least: float = 0.9, smallest: int = 3, leaf:
     return found.select(F.col("least").alias("cluster_id"), "id")
 
 
-def _core(tree: Tree, least: float):
-    """The rows within half the allowed angle of their leaf's centre."""
-    spread = _spread(tree, -1.0, least, 1 << 62)
+def _core(tree: Tree, least: float, block: int):
+    """The core rows with their leaf, see _core_of."""
 
     def core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in spread(batches):
-            b = b.filter(pc.equal(b.column("role"), 0))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("leaf"), pa.array(_mix(b.column("id").to_numpy()))], names=["id", "leaf", "h"])
+        for b in batches:
+            if b.num_rows:
+                x, ids = unit(usable_rows(b.column("v"))[1]), b.column("id").to_numpy()
+                leaf = tree.leaf_of(x)
+                own = _core_of(tree, x, leaf, least, block)
+                yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in (ids, leaf, _mix(ids))], names=["id", "leaf", "h"])
 
     return core
 

@@ -156,6 +156,32 @@ def test_a_group_larger_than_a_leaf_stays_whole(spark):
         assert {tuple(r) for r in clusters.similar_groups(df, leaf=leaf).collect()} == want
 
 
+def test_groups_shuffle_each_row_once_however_many_leaves(spark):
+    g = np.random.default_rng(6)
+    x = np.float32(np.vstack([g.normal(size=(2000, 40)), np.repeat(g.normal(size=(300, 40)), 3, axis=0) + g.normal(size=(900, 40)) * 0.02]))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<float>")
+    # The tree of 40 rows a leaf is given: its own steps aren't what is measured.
+    tree = clusters.bisect(df, 0.9, 40)
+    written = lambda: sum(e.totalShuffleWrite() for e in (lambda l: [l.apply(i) for i in range(l.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))  # noqa: E731, E741
+    before = written()
+    got = {tuple(r) for r in clusters.similar_groups(df, tree=tree, block=200).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == _groups(x) and len(got) == 900
+    assert written() - before < 2 * x.nbytes
+
+
+def test_a_hot_group_and_its_neighbours_in_many_blocks(spark):
+    g = np.random.default_rng(8)
+    at = lambda cos, n, k: np.eye(1, 40) * cos + np.eye(1, 40, k) * np.sqrt(1 - cos * cos) + g.normal(size=(n, 40)) * 0.002
+    hot = [at(1, 900, 1), at(0.96, 60, 1), at(0.96, 60, 2)]
+    for more in ([], [at(0.92, 5, 3)]):  # a whole group, and one that others reach
+        x = np.float32(np.vstack([*hot, *more, g.normal(size=(300, 40))]))
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<float>")
+        want = _groups(x)
+        assert len(want) == (0 if more else 1020)
+        assert {tuple(r) for r in clusters.similar_groups(df, leaf=200, block=100).collect()} == want
+
+
 def test_a_pair_that_two_planes_part_is_found(spark):
     x = np.zeros((4, 40))
     x[:3, 0], x[:3, 1] = (-0.05, 0.25, 0.25), (-0.25, 0.08, 0.08)
